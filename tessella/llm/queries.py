@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from tessella.llm.bpe import op8_bpe
 from tessella.llm.decontaminate import op10_decontaminate
+from tessella.llm.html_text import op5_html_text
 from tessella.llm.language_id import op7_language_id
+from tessella.llm.pii import op1_pii
 from tessella.llm.token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op5_html_text": op5_html_text,
     "op7_language_id": op7_language_id,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
