@@ -5,17 +5,22 @@ from __future__ import annotations
 from tessella.llm.bpe import op8_bpe
 from tessella.llm.decontaminate import op10_decontaminate
 from tessella.llm.html_text import op5_html_text
+from tessella.llm.jaccard_join import op6_jaccard_join
 from tessella.llm.language_id import op7_language_id
+from tessella.llm.line_dedup import SQL as LINE_SQL
+from tessella.llm.line_dedup import op3_line_dedup
 from tessella.llm.pii import op1_pii
 from tessella.llm.token_counts import op9_token_counts
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op3_line_dedup": op3_line_dedup,
     "op5_html_text": op5_html_text,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_language_id": op7_language_id,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": LINE_SQL}
