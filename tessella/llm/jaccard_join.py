@@ -71,11 +71,7 @@ def _described(docs: DataFrame) -> DataFrame:
             parts = []
             for low, high, data, offsets in chunks(batch.column(1)):
                 words = Words(data, offsets, NOT_BLANK)
-                k1, k2 = np.zeros(high - low, np.uint64), np.zeros(high - low, np.uint64)
-                for salt, out in ((1, k1), (2, k2)):
-                    terms = mixed(words.hashes ^ np.uint64(salt))
-                    for r in np.flatnonzero(words.counts):
-                        out[r] = _fold(terms[words.first[r] : words.first[r + 1]])
+                k1, k2 = (sequence_hash(words.hashes, words.first[:-1], words.counts, salt) for salt in (1, 2))
                 sig = signatures(*shingles(words))
                 parts.append((k1.view(np.int64), k2.view(np.int64), words.counts, [s.tobytes() for s in sig]))
             k1, k2, n, sig = ([x for p in parts for x in p[c]] for c in range(4))
@@ -85,11 +81,6 @@ def _described(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n_words long, sig binary")
 
 
-def _fold(terms: np.ndarray) -> np.uint64:
-    h = sequence_hash(terms, np.zeros(1, np.int64), len(terms))
-    return h[0]
-
-
 def _sets(texts: DataFrame) -> DataFrame:
     """node and its sorted distinct shingles (binary) from (node, text)."""
 

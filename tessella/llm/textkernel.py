@@ -130,12 +130,12 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def sequence_hash(values: np.ndarray, at: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+def sequence_hash(values: np.ndarray, at: np.ndarray, size: int | np.ndarray, salt: int = 0) -> np.ndarray:
     """A hash of ``values[i : i + size]`` for each i of ``at``, the same wherever the run stands."""
     source = mixed(values ^ np.uint64(salt)) if salt else values
     up, down = powers(len(source) + 1)
     total = np.zeros(len(source) + 1, np.uint64)
     np.cumsum(source * up[: len(source)], out=total[1:])
     h = (total[at + size] - total[at]) * down[at]
-    h ^= np.uint64((size * 0x9E3779B97F4A7C15 + salt) % (1 << 64))
+    h ^= (np.asarray(size).astype(np.uint64).reshape(-1) + np.uint64(salt)) * MIX1
     return mixed(h)
