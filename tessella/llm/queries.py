@@ -9,12 +9,14 @@ from tessella.llm.jaccard_join import op6_jaccard_join
 from tessella.llm.language_id import op7_language_id
 from tessella.llm.line_dedup import SQL as LINE_SQL
 from tessella.llm.line_dedup import op3_line_dedup
+from tessella.llm.order_minhash import op2_order_minhash
 from tessella.llm.pii import op1_pii
 from tessella.llm.substring_dedup import op4_substring_dedup
 from tessella.llm.token_counts import op9_token_counts
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_order_minhash": op2_order_minhash,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_html_text": op5_html_text,
