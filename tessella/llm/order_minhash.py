@@ -129,8 +129,10 @@ def edited(docs: DataFrame) -> DataFrame:
         keyed, keys = keyed.dropDuplicates(["id", "h"]), keys.dropDuplicates(["id", "h"])
     signed = keyed.withColumn("signature", signature(F.col("text")))
     links = followed(keys).select("id", "h", "next_id", "next_h", F.floor(F.col("n") / 2).cast("int").alias("need"))
-    nexts = signed.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), "text", F.col("signature").alias("next_signature")).join(links, ["next_id", "next_h"])
-    nexts = nexts.select("id", "h", "need", F.left("text", F.col("need")).alias("part"), "next_signature")
+    # Both joins read ``signed`` under its own names, so that one shuffle of the texts serves both.
+    follower, link = signed.alias("s"), links.alias("l")
+    nexts = follower.join(link, (F.col("s.id") == F.col("l.next_id")) & (F.col("s.h") == F.col("l.next_h")))
+    nexts = nexts.select("l.id", "l.h", "l.need", F.left("s.text", F.col("l.need")).alias("part"), F.col("s.signature").alias("next_signature"))
     both = signed.join(nexts, ["id", "h"])
     return both.select(
         F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"),
