@@ -100,8 +100,8 @@ def _anchors(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "anchor long, key long, known long")
 
 
-#: Says that the words on that side of a window differ.
-DIFFER = -1
+#: The words beside a window, by eight bits of their hash: what stands for none, and for several.
+NONE, DIFFER, SIDE_BITS = 256, 257, 10
 
 
 def _edges(texts: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def _edges(texts: DataFrame) -> DataFrame:
     Within a batch, only the occurrences of a window in the least document there meet those of other batches. The rest
     are repeats of it for certain: they carry their source and go by their text key.
     """
-    kinds = "h long, check int, doc_id long, key long, pos int, before int, after int, source long, place int"
+    kinds = "h long, check int, doc_id long, key long, pos int, sides int, source long, place int"
     names = [x.split()[0] for x in kinds.split(", ")]
 
     def run(batches):
@@ -131,11 +131,11 @@ def _edges(texts: DataFrame) -> DataFrame:
                 at, row = at[keep], row[keep]
                 if not len(at):
                     continue
-                check = (sequence_hash(words.hashes, at, WINDOW, salt=11) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                small = (words.hashes >> np.uint64(49)).astype(np.int32)
+                check = (sequence_hash(words.hashes, at, WINDOW, salt=11) >> np.uint64(40)).astype(np.int32)
+                small = (words.hashes >> np.uint64(56)).astype(np.int32)
                 first, last = words.first[row], words.first[row + 1] - WINDOW
-                before = np.where(at == first, 1 << 15, small[at - 1])
-                after = np.where(at == last, 1 << 15, small[np.minimum(at + WINDOW, len(small) - 1)])
+                before = np.where(at == first, NONE, small[at - 1])
+                after = np.where(at == last, NONE, small[np.minimum(at + WINDOW, len(small) - 1)])
                 parts.append((sequence_hash(words.hashes, at, WINDOW).view(np.int64), check, doc[low + row], own[row], (at - first).astype(np.int32), before, after))
             if not parts:
                 continue
@@ -152,22 +152,26 @@ def _edges(texts: DataFrame) -> DataFrame:
                 high, low = np.maximum.reduceat(side[order], begin), np.minimum.reduceat(side[order], begin)
                 side[(high != low)[group]] = DIFFER
             columns = [pa.array(np.where(known, own, h)), pa.array(np.where(known, np.int32(0), check)), *map(pa.array, (ids, own, pos))]
-            columns += [pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(source, mask=~known), pa.array(place, mask=~known)]
+            columns += [pa.array((before << SIDE_BITS | after).astype(np.int32)), pa.array(source, mask=~known), pa.array(place, mask=~known)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return texts.select("doc_id", "text", "key", "anchors").mapInArrow(run, kinds)
 
 
 def _spans(repeat: list[dict] | None) -> list[tuple[int, int, int, int]]:
-    """(start, end, source, place there) of the compacted paths of one document's repeated windows, by start."""
+    """(start, end, source, place there) of the compacted paths of one document's repeated windows, by start.
+
+    A window's code holds its place here, its place in the source, and whether it joins the one before and goes on.
+    """
     out: list[list[int]] = []
     open_end = False
-    for x in sorted(repeat or [], key=lambda x: x["pos"]):
-        if out and open_end and x["joins"] and out[-1][1] == x["pos"] + WINDOW - 1 and out[-1][2] == x["source"] and out[-1][3] + x["pos"] - out[-1][0] == x["place"]:
+    for code, source in sorted((x["code"], x["source"]) for x in repeat or []):
+        pos, place, joins = code >> 33, code >> 2 & 0x7FFFFFFF, code & 2
+        if out and open_end and joins and out[-1][1] == pos + WINDOW - 1 and out[-1][2] == source and out[-1][3] + pos - out[-1][0] == place:
             out[-1][1] += 1
         else:
-            out.append([x["pos"], x["pos"] + WINDOW, x["source"], x["place"]])
-        open_end = x["goes_on"]
+            out.append([pos, pos + WINDOW, source, place])
+        open_end = code & 1
     return [tuple(s) for s in out]
 
 
@@ -185,7 +189,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "spans", "kept")
     names = docs.columns
-    rows = docs.withColumn("id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "*")
     named = rows.select("id", "text").filter("id is not null")
     keys = _keys(named).distinct().checkpoint()
     first = keys.filter(F.col("n") >= WINDOW).groupBy("key").agg(F.min("doc_id").alias("first"))
@@ -196,15 +200,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     lists = listed.groupBy("key").agg(F.collect_set("anchor").alias("anchors")).join(first, "key").select(F.col("first").alias("id"), "key", "anchors")
 
     edge = Window.partitionBy("h", "check")
+    before, after = F.shiftright("sides", SIDE_BITS), F.col("sides").bitwiseAND(F.lit((1 << SIDE_BITS) - 1))
     one = lambda side: (F.min(side).over(edge) == F.max(side).over(edge)) & (F.min(side).over(edge) != DIFFER)
     edges = _edges(named.join(lists, "id").withColumnRenamed("id", "doc_id"))
-    edges = edges.withColumns({"least": F.min(F.struct("doc_id", "pos")).over(edge), "joins": one("before"), "goes_on": one("after")})
+    edges = edges.withColumns({"least": F.min(F.struct("doc_id", "pos")).over(edge), "joins": one(before), "goes_on": one(after)})
     certain = F.col("source").isNotNull()
-    repeats = edges.filter(certain | (F.col("doc_id") > F.col("least.doc_id"))).select(
-        "doc_id", "key", "pos", F.coalesce("source", "least.doc_id").alias("source"), F.coalesce("place", "least.pos").alias("place"),
-        F.when(certain, F.col("before") != DIFFER).otherwise(F.col("joins")).alias("joins"), F.when(certain, F.col("after") != DIFFER).otherwise(F.col("goes_on")).alias("goes_on"),
-    )
-    repeats = repeats.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "source", "place", "joins", "goes_on")).alias("repeat"))
+    joins, goes_on = F.when(certain, before != DIFFER).otherwise(F.col("joins")), F.when(certain, after != DIFFER).otherwise(F.col("goes_on"))
+    place = F.coalesce("place", "least.pos").cast("long")
+    code = F.shiftleft(F.col("pos").cast("long"), 33).bitwiseOR(F.shiftleft(place, 2)).bitwiseOR(joins.cast("long") * 2 + goes_on.cast("long"))
+    repeats = edges.filter(certain | (F.col("doc_id") > F.col("least.doc_id"))).select("doc_id", "key", code.alias("code"), F.coalesce("source", "least.doc_id").alias("source"))
+    repeats = repeats.groupBy("doc_id", "key").agg(F.collect_list(F.struct("code", "source")).alias("repeat"))
 
     info = keys.join(first, "key", "left").join(repeats, ["doc_id", "key"], "left")
     facts = info.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.when((F.col("first") < F.col("doc_id")) | F.col("repeat").isNotNull(), F.struct("key", "first", "repeat"))).alias("facts"))
