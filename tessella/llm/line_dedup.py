@@ -55,12 +55,12 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_
     docs = docs.drop("n_lines", "n_boilerplate", "n_removed", "kept")
     wide = boilerplate(docs, min_sites)
     row = lambda salt: F.xxhash64(F.col("text"), F.col("source"), F.lit(salt))
-    found = docs.select(row(1).alias("r1"), row(2).alias("r2"), F.explode(F.array_distinct(F.array_compact(line_keys(F.col("text"))))).alias("k"))
+    found = docs.select(row(1).alias("_ld_1"), row(2).alias("_ld_2"), F.explode(F.array_distinct(F.array_compact(line_keys(F.col("text"))))).alias("k"))
     # Rows of a frequent line are dealt to SALTS parts; the list, one row a line, is repeated for each.
-    found = found.select("r1", "r2", "k.a", "k.b", F.pmod("r1", F.lit(SALTS)).cast("int").alias("part"))
+    found = found.select("_ld_1", "_ld_2", "k.a", "k.b", F.pmod("_ld_1", F.lit(SALTS)).cast("int").alias("part"))
     wide = wide.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-    hits = found.join(wide, ["a", "b", "part"]).groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("hits"))
-    marked = docs.withColumns({"r1": row(1), "r2": row(2)}).join(hits, ["r1", "r2"], "left").drop("r1", "r2")
+    hits = found.join(wide, ["a", "b", "part"]).groupBy("_ld_1", "_ld_2").agg(F.collect_set(F.struct("a", "b")).alias("_ld_hits"))
+    marked = docs.withColumns({"_ld_1": row(1), "_ld_2": row(2)}).join(hits, ["_ld_1", "_ld_2"], "left").drop("_ld_1", "_ld_2")
 
     text = F.coalesce(F.col("text"), F.lit(""))
 
@@ -83,7 +83,7 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_
         return let(lines, result)
 
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    return marked.withColumn("r", judged(F.coalesce("hits", none))).select(*docs.columns, "r.*")
+    return marked.withColumn("_ld", judged(F.coalesce("_ld_hits", none))).select(*docs.columns, "_ld.*")
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -189,20 +189,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "spans", "kept")
     names = docs.columns
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "*")
-    named = rows.select("id", "text").filter("id is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_td_id"), "*")
+    named = rows.select("_td_id", "text").filter("_td_id is not null")
     keys = _keys(named).distinct().checkpoint()
     first = keys.filter(F.col("n") >= WINDOW).groupBy("key").agg(F.min("doc_id").alias("first"))
 
     # One shuffle by anchor and one by edge; a batch sends few rows of either, so no group is large.
     anchors = _anchors(named).withColumn("shared", F.col("known").isNotNull() | (F.min("key").over(Window.partitionBy("anchor")) < F.max("key").over(Window.partitionBy("anchor"))))
     listed = anchors.filter("shared").select("key", F.coalesce("known", "anchor").alias("anchor"))
-    lists = listed.groupBy("key").agg(F.collect_set("anchor").alias("anchors")).join(first, "key").select(F.col("first").alias("id"), "key", "anchors")
+    lists = listed.groupBy("key").agg(F.collect_set("anchor").alias("anchors")).join(first, "key").select(F.col("first").alias("_td_id"), "key", "anchors")
 
     edge = Window.partitionBy("h", "check")
     before, after = F.shiftright("sides", SIDE_BITS), F.col("sides").bitwiseAND(F.lit((1 << SIDE_BITS) - 1))
     one = lambda side: (F.min(side).over(edge) == F.max(side).over(edge)) & (F.min(side).over(edge) != DIFFER)
-    edges = _edges(named.join(lists, "id").withColumnRenamed("id", "doc_id"))
+    edges = _edges(named.join(lists, "_td_id").withColumnRenamed("_td_id", "doc_id"))
     edges = edges.withColumns({"least": F.min(F.struct("doc_id", "pos")).over(edge), "joins": one(before), "goes_on": one(after)})
     certain = F.col("source").isNotNull()
     joins, goes_on = F.when(certain, before != DIFFER).otherwise(F.col("joins")), F.when(certain, after != DIFFER).otherwise(F.col("goes_on"))
@@ -212,15 +212,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     repeats = repeats.groupBy("doc_id", "key").agg(F.collect_list(F.struct("code", "source")).alias("repeat"))
 
     info = keys.join(first, "key", "left").join(repeats, ["doc_id", "key"], "left")
-    facts = info.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.when((F.col("first") < F.col("doc_id")) | F.col("repeat").isNotNull(), F.struct("key", "first", "repeat"))).alias("facts"))
-    joined = rows.join(facts, "id")
+    facts = info.groupBy(F.col("doc_id").alias("_td_id")).agg(F.collect_list(F.when((F.col("first") < F.col("doc_id")) | F.col("repeat").isNotNull(), F.struct("key", "first", "repeat"))).alias("_td_facts"))
+    joined = rows.join(facts, "_td_id")
     if docs.filter("doc_id is null").limit(1).count():
-        joined = joined.unionByName(rows.filter("id is null"), allowMissingColumns=True)
-    joined = joined.select(*(F.col("id").alias(c) if c == "doc_id" and docs.schema[c].dataType.simpleString() == "bigint" else F.col(c) for c in names), "facts")
+        joined = joined.unionByName(rows.filter("_td_id is null"), allowMissingColumns=True)
+    joined = joined.select(*(F.col("_td_id").alias(c) if c == "doc_id" and docs.schema[c].dataType.simpleString() == "bigint" else F.col(c) for c in names), "_td_facts")
 
     def run(batches):
         for batch in batches:
-            facts = batch.column("facts")
+            facts = batch.column("_td_facts")
             texts = batch.column("text")
             n_words, n_removed, spans, kept = [], [], [], []
             for low, high, data, offsets in chunks(texts):
