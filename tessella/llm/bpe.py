@@ -21,7 +21,7 @@ from tessella.llm.common import small_batches, table
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens that a worker keeps; longer ones than KEEP_CHARS are never kept.
-KEEP, KEEP_CHARS = 400_000, 64
+KEEP, KEEP_CHARS = 300_000, 64
 NONE = np.int64(1 << 40)
 
 
@@ -63,7 +63,9 @@ class Codec:
         order = np.argsort(keys)
         self.size, self.pair_keys = size, keys[order]
         self.pair_ranks = np.array([r for r, _ in self.merge.values()], np.int64)[order]
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        #: Ids of pre-tokens, joined by commas, and the decoded text of those few that do not come back as they were.
+        self.known: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
         self.judged: dict[int, bool] = {}
 
     # -- verification ---------------------------------------------------------------------------------------
@@ -135,8 +137,8 @@ class Codec:
                     heapq.heappush(heap, (m[0], p, token[p], token[q], m[1]))
         return [t for t in token if t >= 0]
 
-    def learn(self, words: list[str]) -> dict[str, tuple[str, int, bytes]]:
-        """Ids (joined by commas), count and decoded bytes of pre-tokens."""
+    def learn(self, words: list[str]) -> None:
+        """Add pre-tokens to the table, each decoded from its ids and compared."""
         proposed = [self.propose(w.encode()) for w in words]
         sizes = np.array([len(p) for p in proposed], np.int64)
         flat = np.array([t for p in proposed for t in p], np.int64)
@@ -146,12 +148,16 @@ class Codec:
         verdict = np.array([self.judged.get(k, -1) for k in key.tolist()], np.int8)
         new = np.flatnonzero(verdict < 0)
         verdict[new] = self.compatible(key[new] // self.size, key[new] % self.size)
-        if len(self.judged) + len(new) > 2 * KEEP:
+        if len(self.judged) + len(new) > KEEP:
             self.judged.clear()
         self.judged.update(zip(key[new].tolist(), verdict[new].tolist(), strict=True))
         for k in np.unique(word[seam[verdict[back] == 0]]).tolist():
             proposed[k] = self.merged(words[k].encode())
-        return {w: (",".join(map(str, p)), len(p), b"".join(map(self.pieces.__getitem__, p))) for w, p in zip(words, proposed, strict=True)}
+        for w, p in zip(words, proposed, strict=True):
+            self.known[w] = ",".join(map(str, p))
+            back = b"".join(map(self.pieces.__getitem__, p))
+            if back != w.encode():
+                self.odd[w] = back.decode("utf-8", "replace")
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text; the strings of special tokens are pre-tokens of their own."""
@@ -163,25 +169,29 @@ class Codec:
             at = m.end()
         return out + self.pre_token.findall(text[at:])
 
-    def batch(self, texts: list[str | None]) -> list[tuple[str, int, bytes]]:
-        """(ids joined by commas, number of ids, decoded bytes) of every text."""
-        out, known = [], self.known
+    def batch(self, texts: list[str | None]) -> list[tuple[str, int, str]]:
+        """(ids joined by commas, number of ids, decoded text) of every text."""
+        out, known, odd = [], self.known, self.odd
         for text in texts:
             words = self.split(text or "")
-            if new := {w for w in words if w not in known}:
+            new = {w for w in words if w not in known}
+            if new:
                 if len(known) + len(new) > KEEP:
-                    known = self.known = {s: (str(i), 1, s.encode()) for s, i in self.special.items()}
-                    new = {w for w in words if w not in known}
-                for s, i in self.special.items():
-                    if s in new:
-                        known[s] = str(i), 1, s.encode()
-                        new.discard(s)
-                known.update(self.learn(list(new)))
-            got = [known[w] for w in words]
-            out.append((",".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got])))
+                    known.clear()
+                    odd.clear()
+                    new = set(words)
+                for special, i in self.special.items():
+                    if special in new:
+                        known[special] = str(i)
+                        new.discard(special)
+                self.learn(list(new))
+            ids = ",".join([known[w] for w in words])
+            decoded = "".join([odd.get(w, w) for w in words]) if odd else "".join(words)
+            out.append((ids, ids.count(",") + 1 if words else 0, decoded))
             for w in new:
                 if len(w) > KEEP_CHARS:
                     known.pop(w, None)
+                    odd.pop(w, None)
         return out
 
 
@@ -219,7 +229,7 @@ def encoded(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataF
             columns = [batch.column(c) for c in names]
             columns.append(pa.array([g[1] for g in got], pa.int64()))
             columns.append(pa.array([hashlib.sha256(g[0].encode()).hexdigest() for g in got], pa.string()))
-            columns.append(pa.array([g[2].decode("utf-8", "replace") for g in got], pa.string()))
+            columns.append(pa.array([g[2] for g in got], pa.string()))
             if ids:
                 columns.append(pa.array([np.fromstring(g[0], np.int32, sep=",") for g in got], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", "ids_sha256", "decoded", *["ids"] * ids])

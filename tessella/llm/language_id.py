@@ -28,7 +28,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Byte 4-grams of each row, of folded text between single blanks, and their rows."""
     n = len(offsets) - 1
     sizes = np.diff(offsets)
-    row = np.repeat(np.arange(n), sizes + 2)
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes + 2)
     text = np.full(len(data) + 2 * n, 32, np.uint8)
     text[np.arange(len(data)) + 2 * np.repeat(np.arange(n), sizes) + 1] = _FOLD[data]
     keep = np.ones(len(text), bool)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from tessella.llm.common import small_batches, table
 
 #: Pre-tokens whose counts a worker keeps; longer ones than KEEP_CHARS are never kept.
-KEEP, KEEP_CHARS = 500_000, 64
+KEEP, KEEP_CHARS = 300_000, 64
 MARK = "▁"
 
 
