@@ -100,8 +100,10 @@ def _anchors(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "anchor long, key long, known long")
 
 
-#: The words beside a window, by eight bits of their hash: what stands for none, and for several.
-NONE, DIFFER, SIDE_BITS = 256, 257, 10
+#: The words beside a window, by seven bits of their hash: what stands for none, and for several.
+NONE, DIFFER = 128, 129
+#: Bits of an edge row's second long, from below: place in the text, the word after, the word before, more of the hash.
+POS_BITS, SIDE_BITS = 28, 8
 
 
 def _edges(texts: DataFrame) -> DataFrame:
@@ -110,7 +112,7 @@ def _edges(texts: DataFrame) -> DataFrame:
     Within a batch, only the occurrences of a window in the least document there meet those of other batches. The rest
     are repeats of it for certain: they carry their source and go by their text key.
     """
-    kinds = "h long, check int, doc_id long, key long, pos int, sides int, source long, place int"
+    kinds = "h long, aux long, doc_id long, key long, source long, place int"
     names = [x.split()[0] for x in kinds.split(", ")]
 
     def run(batches):
@@ -131,12 +133,12 @@ def _edges(texts: DataFrame) -> DataFrame:
                 at, row = at[keep], row[keep]
                 if not len(at):
                     continue
-                check = (sequence_hash(words.hashes, at, WINDOW, salt=11) >> np.uint64(40)).astype(np.int32)
-                small = (words.hashes >> np.uint64(56)).astype(np.int32)
+                check = (sequence_hash(words.hashes, at, WINDOW, salt=11) >> np.uint64(45)).astype(np.int64)
+                small = (words.hashes >> np.uint64(57)).astype(np.int64)
                 first, last = words.first[row], words.first[row + 1] - WINDOW
                 before = np.where(at == first, NONE, small[at - 1])
                 after = np.where(at == last, NONE, small[np.minimum(at + WINDOW, len(small) - 1)])
-                parts.append((sequence_hash(words.hashes, at, WINDOW).view(np.int64), check, doc[low + row], own[row], (at - first).astype(np.int32), before, after))
+                parts.append((sequence_hash(words.hashes, at, WINDOW).view(np.int64), check, doc[low + row], own[row], at - first, before, after))
             if not parts:
                 continue
             h, check, ids, own, pos, before, after = (np.concatenate([p[c] for p in parts]) for c in range(7))
@@ -151,8 +153,8 @@ def _edges(texts: DataFrame) -> DataFrame:
             for side in (before, after):
                 high, low = np.maximum.reduceat(side[order], begin), np.minimum.reduceat(side[order], begin)
                 side[(high != low)[group]] = DIFFER
-            columns = [pa.array(np.where(known, own, h)), pa.array(np.where(known, np.int32(0), check)), *map(pa.array, (ids, own, pos))]
-            columns += [pa.array((before << SIDE_BITS | after).astype(np.int32)), pa.array(source, mask=~known), pa.array(place, mask=~known)]
+            aux = ((check << SIDE_BITS | before) << SIDE_BITS | after) << POS_BITS | pos
+            columns = [pa.array(np.where(known, own, h)), *map(pa.array, (aux, ids, own)), pa.array(source, mask=~known), pa.array(place.astype(np.int32), mask=~known)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return texts.select("doc_id", "text", "key", "anchors").mapInArrow(run, kinds)
@@ -199,15 +201,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     listed = anchors.filter("shared").select("key", F.coalesce("known", "anchor").alias("anchor"))
     lists = listed.groupBy("key").agg(F.collect_set("anchor").alias("anchors")).join(first, "key").select(F.col("first").alias("_td_id"), "key", "anchors")
 
+    # Dealt by hash alone; the rest of the hash only parts what stands in a partition. Two longs keep a row narrow.
+    edges = _edges(named.join(lists, "_td_id").withColumnRenamed("_td_id", "doc_id")).repartition("h")
+    bits = lambda low, n: F.shiftright("aux", low).bitwiseAND(F.lit((1 << n) - 1))
+    certain = F.col("source").isNotNull()
+    check = F.when(certain, F.lit(-1).cast("long")).otherwise(F.shiftright("aux", POS_BITS + 2 * SIDE_BITS))
+    edges = edges.withColumns({"check": check, "before": bits(POS_BITS + SIDE_BITS, SIDE_BITS), "after": bits(POS_BITS, SIDE_BITS), "pos": bits(0, POS_BITS)})
     edge = Window.partitionBy("h", "check")
-    before, after = F.shiftright("sides", SIDE_BITS), F.col("sides").bitwiseAND(F.lit((1 << SIDE_BITS) - 1))
     one = lambda side: (F.min(side).over(edge) == F.max(side).over(edge)) & (F.min(side).over(edge) != DIFFER)
-    edges = _edges(named.join(lists, "_td_id").withColumnRenamed("_td_id", "doc_id"))
-    edges = edges.withColumns({"least": F.min(F.struct("doc_id", "pos")).over(edge), "joins": one(before), "goes_on": one(after)})
-    certain = F.col("source").isNotNull()
-    joins, goes_on = F.when(certain, before != DIFFER).otherwise(F.col("joins")), F.when(certain, after != DIFFER).otherwise(F.col("goes_on"))
-    place = F.coalesce("place", "least.pos").cast("long")
-    code = F.shiftleft(F.col("pos").cast("long"), 33).bitwiseOR(F.shiftleft(place, 2)).bitwiseOR(joins.cast("long") * 2 + goes_on.cast("long"))
+    edges = edges.withColumns({"least": F.min(F.struct("doc_id", "pos")).over(edge), "joins": one("before"), "goes_on": one("after")})
+    joins, goes_on = F.when(certain, F.col("before") != DIFFER).otherwise(F.col("joins")), F.when(certain, F.col("after") != DIFFER).otherwise(F.col("goes_on"))
+    place = F.coalesce(F.col("place").cast("long"), "least.pos")
+    code = F.shiftleft("pos", 33).bitwiseOR(F.shiftleft(place, 2)).bitwiseOR(joins.cast("long") * 2 + goes_on.cast("long"))
     repeats = edges.filter(certain | (F.col("doc_id") > F.col("least.doc_id"))).select("doc_id", "key", code.alias("code"), F.coalesce("source", "least.doc_id").alias("source"))
     repeats = repeats.groupBy("doc_id", "key").agg(F.collect_list(F.struct("code", "source")).alias("repeat"))
 
