@@ -13,7 +13,6 @@ from tessella.functions import geometry as g
 from tessella.functions.lexicon import normalise_label, primary_type, resolve, storable_type
 from tessella.functions.parse import WEAK, apartment_code, parsed
 
-PAGE = Window.partitionBy("page_id")
 
 
 def read_tokens(tokens: DataFrame) -> DataFrame:
@@ -22,7 +21,7 @@ def read_tokens(tokens: DataFrame) -> DataFrame:
     t = t.withColumns({"resolved": resolve(F.col("norm")), "is_code": apartment_code(F.col("text")), "weak": F.col("fmt").isin(*WEAK)})
     # Several branches read the tokens of a page; parsing them is the costly part and is done once.
     strong = (F.col("kind") == "area") & F.col("plausible") & ~F.col("weak")
-    return t.withColumn("corroborated", F.max(strong).over(PAGE)).persist()
+    return t.withColumn("corroborated", F.max(strong).over(Window.partitionBy("page_id"))).persist()
 
 
 def suppressed(read: DataFrame) -> DataFrame:
