@@ -3,7 +3,9 @@
 A page is parsed into a tree of elements. Every node gets a density: its characters per tag, adjusted for the
 characters and tags that stand in links. The densities of a node's children add up to its density sum. The node with
 the greatest sum holds the article; the least density on the path from the body to that node is the threshold that
-decides which subtrees beside the path belong to it. Elements that are never part of an article (menus, footers,
+decides which subtrees and texts beside the path belong to it; inside the innermost ``article`` or ``main`` around
+the node parts that are mostly unlinked belong to it anyway and others count ``INSIDE`` times as dense, and such
+elements beside the path count ``BESIDE_ARTICLE`` times. Elements that are never part of an article (menus, footers,
 forms, scripts, adverts, notices, reader comments) are told by tag, role or class and take no part in the sums.
 """
 
@@ -37,6 +39,9 @@ BESIDE = frozenset(
     "menu modal nav navbar navigation newsletter notice popup promo related share sharing sidebar social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+#: Marks that weigh in: how many times denser linked parts of the innermost one around the best node count, and others beside the path.
+ARTICLE, INSIDE, BESIDE_ARTICLE = ("article", "main"), 64.0, 2.0
+HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([A-Za-z][^\s/<>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*'|[\"'])*+)>|[!?][^<>]*>)", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"[A-Za-z]+")
@@ -140,6 +145,16 @@ def _path(node: Node | None):
         node = node.up
 
 
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    """Composite text density; ``ratio`` is the share of the page's characters that stand in links."""
+    if not chars:
+        return 0.0
+    tags, links = max(tags, 1), max(link_tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + ratio * chars + math.e)
+    gain = chars / max(link_chars, 1) * tags / links
+    return chars / tags * max(math.log(max(gain, 1.0)) / math.log(base + 1), 0.0)
+
+
 def _measure(root: Node) -> list[Node]:
     """Characters, tags and their linked parts of every node that may be content; children stand before parents."""
     order, stack = [], [root]
@@ -166,18 +181,28 @@ def _measure(root: Node) -> list[Node]:
     ratio = body.link_chars / max(body.chars, 1)
     for node in order:
         if node.chars:
-            tags, links = max(node.tags, 1), max(node.link_tags, 1)
-            plain = max(node.chars - node.link_chars, 1)
-            base = math.log(node.chars / plain * node.link_chars + ratio * node.chars + math.e)
-            gain = node.chars / max(node.link_chars, 1) * tags / links
-            node.density = node.chars / tags * max(math.log(max(gain, 1.0)) / math.log(base + 1), 0.0)
+            node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
     for node in order:
         node.sum = sum(x.density for x in node.parts if type(x) is Node and not x.beside) or node.density * bool(node.chars) * 1e-6
     return order
 
 
-def _gather(node: Node, out: list[str]) -> None:
-    stack: list = [node]
+def _gather(best: Node, out: list[str]) -> None:
+    """The texts of ``best`` and, beside the path to it, of what is as dense as the sparsest part of that path.
+
+    Of the parts of a node on the path, all from the first to the last of these stay, and headings just before them.
+    """
+    above = list(_path(best.up))
+    body = next((k for k, n in enumerate(above) if n.tag == "body"), len(above) - 1)
+    above = above[: body + 1]
+    limit = min((n.density for n in above if n.tag != "html" and n.chars), default=0.0)
+    limit = min(limit, best.density)
+    marked = next((k for k, n in enumerate(above) if n.tag in ARTICLE), -1)
+    need = {id(n): limit / (INSIDE if k <= marked else 1) for k, n in enumerate(above)}
+    inside = {id(n) for n in above[: marked + 1]}
+    top = above[-1] if above else best
+    ratio = top.link_chars / max(top.chars, 1)
+    stack: list = [top]
     while stack:
         x = stack.pop()
         if type(x) is str:
@@ -186,7 +211,25 @@ def _gather(node: Node, out: list[str]) -> None:
             if x.tag in BLOCK or x.tag == "br":
                 out.append("\n")
                 stack.append("\n")
-            stack += reversed(x.parts)
+            if (least := need.get(id(x))) is None:
+                stack += reversed(x.parts)
+                continue
+            held = []
+            for k, y in enumerate(x.parts):
+                if type(y) is str:
+                    dense = _density(len(y.strip()), 1, 0, 0, ratio)
+                elif y.beside:
+                    continue
+                else:
+                    dense = y.density * (BESIDE_ARTICLE if y.tag in ARTICLE else 1)
+                full = bool(y.strip()) if type(y) is str else y.chars > 0
+                plain = id(x) in inside and (type(y) is str or 2 * y.link_chars <= y.chars)
+                if y is best or id(y) in need or full and (plain or dense >= least):
+                    held.append(k)
+            first = held[0]
+            while first and (type(y := x.parts[first - 1]) is str and not y.strip() or type(y) is Node and (y.beside or not y.chars or y.tag in HEADING)):
+                first -= 1
+            stack += reversed(x.parts[first : held[-1] + 1])
 
 
 def main_text(page: str | None) -> str:
@@ -196,19 +239,8 @@ def main_text(page: str | None) -> str:
     root = parse(page)
     order = _measure(root)
     best = max(reversed(order), key=lambda n: n.sum)  # of equals the one that stands higher
-    article = [n for n in order if n.tag in ("article", "main") and n.chars]
-    if article and not any(n in article for n in _path(best)):
-        best = max(reversed(article), key=lambda n: n.chars)  # short articles have little density to show
-    path = [n for n in _path(best)]
-    holder = next((n for n in path if n.tag in ("article", "main")), None)
-    limit = min(n.density for n in path[: path.index(holder) + 1] if n.chars) if holder is not None else min((n.density for n in path if n.tag != "html" and n.chars), default=0.0)
-    if holder is None:
-        # Beside the path, subtrees as dense as the sparsest part of it belong to the article too.
-        holder = best
-        while holder.up is not None and holder.tag != "body" and any(type(x) is Node and x not in path and not x.beside and x.chars and x.density >= limit for x in holder.up.parts):
-            holder = holder.up
     out: list[str] = []
-    _gather(holder, out)
+    _gather(best, out)
     return " ".join("".join(out).split())
 
 

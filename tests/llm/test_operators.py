@@ -189,6 +189,18 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_main_text_is_chosen_by_density_on_pages_with_articles():
+    p = lambda word, n: f"<p>{f'{word} words of this ' * n}</p>"
+    story = f"<h1>Headline of the story</h1>{p('one', 30)}{p('two', 25)}{p('three', 20)}"
+    cards = "".join(f"<article><h3><a href={k}>card</a></h3>{p('teaser', k)}</article>" for k in (3, 4))
+    plain = lambda s: " ".join(html_text.html.unescape(html_text.re.sub("<[^>]*>", " ", s)).split())
+    assert html_text.main_text(f"<body><nav>n</nav><div class=story>{story}</div>{cards}</body>") == plain(story)
+    parts = f"<article><h1>Head</h1>{p('one', 30)}{p('two', 25)}</article><article>{p('three', 30)}{p('four', 25)}{p('five', 30)}</article>"
+    assert html_text.main_text(f"<body><nav>n</nav>{parts}<footer>f</footer></body>") == plain(parts)
+    whole = f"<h1>H</h1><p>Byline</p><div>{p('one', 30)}{p('two', 25)}</div><p>End</p>"
+    assert html_text.main_text(f"<body><main>{whole}</main></body>") == plain(whole)
+
+
 def test_main_text_is_linear_in_odd_pages():
     for page in ("<" * 100_000, "<a " * 50_000, "<div>" * 5000 + "x", "<b>" * 5000 + "y", "&amp;" * 50_000):
         html_text.main_text(page)
