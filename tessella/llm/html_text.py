@@ -43,18 +43,26 @@ BESIDE = frozenset(
 ARTICLE, INSIDE, BESIDE_ARTICLE = ("article", "main"), 64.0, 2.0
 HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([A-Za-z][^\s/<>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*'|[\"'])*+)>|[!?][^<>]*>)", re.S)
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-WORD = re.compile(r"[A-Za-z]+")
+ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?+")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: With these, a word of BESIDE names the element itself ("ad-slot", "comments-list"); with others, a trait of it ("has-sidebar").
+PARTS = frozenset(
+    "area bar block bottom box container content first footer header inner item items label last left links list main outer panel "
+    "primary right secondary section slot top unit widget wrap wrapper".split()
+)
 
 
 class Node:
-    __slots__ = ("tag", "up", "parts", "beside", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "up", "parts", "beside", "likely", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, up: Node | None, beside: bool):
         self.tag, self.up, self.parts, self.beside = tag, up, [], beside
+        self.likely = False
 
 
-def _beside(tag: str, attributes: str, up: Node) -> bool:
+def _beside(tag: str, attributes: str, up: Node) -> bool | None:
+    """Whether an element stands beside the article; None if it does unless it holds most of the page's plain text."""
+    likely = False
     if tag in ASIDE:
         return True
     if tag == "header":  # of the page, not of the article
@@ -65,17 +73,30 @@ def _beside(tag: str, attributes: str, up: Node) -> bool:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
+    seen = set()
     for name, *values in ATTR.findall(attributes):
-        name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id"):
-            if not BESIDE.isdisjoint(WORD.findall(value)):
-                return True
+        name, value = name.lower(), "".join(values)
+        if name in seen:  # the first of a name counts
+            continue
+        seen.add(name)
+        if name == "class" or name == "id":
+            for token in value.split():
+                if token.lower() in BESIDE:
+                    return True
+                if _compound(token):
+                    likely = True
         elif name == "role":
-            if value in ROLES:
+            if value.lower() in ROLES:
                 return True
-        elif name == "hidden" or value == "true":
+        elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
             return True
-    return False
+    return None if likely else False
+
+
+def _compound(token: str) -> bool:
+    """Whether a class or id of several words names something beside the article: words of BESIDE and PARTS alone."""
+    words = [w.lower() for w in WORD.findall(token)]
+    return not BESIDE.isdisjoint(words) and BESIDE.union(PARTS).issuperset(words)
 
 
 def parse(page: str) -> Node:
@@ -134,7 +155,9 @@ def parse(page: str) -> Node:
             node = node.up
         if stop is not None:
             here = stop.up
-        new = Node(tag, here, _beside(tag, m[4], here))
+        sure = _beside(tag, m[4], here)
+        new = Node(tag, here, sure is not False)
+        new.likely = sure is None
         here.parts.append(new)
         here = new
 
@@ -145,6 +168,24 @@ def _path(node: Node | None):
         node = node.up
 
 
+def _keep_most(root: Node) -> None:
+    """Elements that only likely stand beside the article stay if they hold most of the unlinked text."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [x for x in node.parts if type(x) is Node and (x.likely or not x.beside)]
+    if not any(n.likely for n in order):
+        return
+    for node in reversed(order):
+        node.chars = 0
+        if node.tag != "a":
+            node.chars = sum(len(x.strip()) if type(x) is str else x.chars for x in node.parts if type(x) is str or x.likely or not x.beside)
+    for node in order:
+        if node.likely and 2 * node.chars > root.chars:
+            node.beside = False
+
+
 def _density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
     """Composite text density; ``ratio`` is the share of the page's characters that stand in links."""
     if not chars:
@@ -237,6 +278,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _keep_most(root)
     order = _measure(root)
     best = max(reversed(order), key=lambda n: n.sum)  # of equals the one that stands higher
     out: list[str] = []

@@ -201,6 +201,15 @@ def test_main_text_is_chosen_by_density_on_pages_with_articles():
     assert html_text.main_text(f"<body><main>{whole}</main></body>") == plain(whole)
 
 
+def test_main_text_drops_by_names_and_not_by_stray_words():
+    story, side = "story words here " * 30, "<p>beside it</p>"
+    for kept in ('style="overflow:hidden"', 'title="The hidden valley"', 'data-hidden="false"', 'data-class="ad"', 'aria-hidden="false"', 'class="content has-sidebar"', 'class="post comments-open"', 'id=social-science', 'class="with-menu"', 'class="widget-content"'):
+        for page in (f"<body><div {kept}><p>{story}</p><p>end</p></div></body>", f"<body><main>{side}</main><div {kept}><p>{story}</p><p>{story}</p></div></body>"):
+            assert story.strip() in html_text.main_text(page), kept
+    for gone in ("hidden", 'HIDDEN=""', "hidden=until-found", 'aria-hidden="true"', 'role="navigation"', 'class="x ad"', 'class="ad-slot"', "id=commentsList", 'class="page_footer sidebar-left"'):
+        assert html_text.main_text(f"<body><article><p>{story}</p><div {gone}><p>other text</p></div></article></body>") == story.strip(), gone
+
+
 def test_main_text_is_linear_in_odd_pages():
     for page in ("<" * 100_000, "<a " * 50_000, "<div>" * 5000 + "x", "<b>" * 5000 + "y", "&amp;" * 50_000):
         html_text.main_text(page)
