@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from tessella.llm.common import small_batches, table
 from tessella.llm.textkernel import chunks
 
-#: Most grams of a language, most languages, share of the best language's rate that a gram must reach.
-GRAMS, LANGUAGES, SHARE = 32_768, 63, 0.1
+#: Most grams of a language, share of the best language's rate that a gram must reach.
+GRAMS, SHARE = 32_768, 0.1
+#: Languages of a word; a slot has as many words as all languages need.
+WORD_BITS = 64
 SLOT_BITS, HASHES = 20, 3
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -44,16 +46,20 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Filters:
     """A bit-sliced Bloom filter over the grams of every language."""
 
-    def __init__(self, languages: list[str], members: list[tuple[int, int]]):
+    def __init__(self, languages: list[str], members: list[tuple[np.ndarray, int]]):
         self.languages = languages
-        self.slots = np.zeros(1 << SLOT_BITS, np.uint64)
-        if members:
-            gram, language = (np.array(x) for x in zip(*members, strict=True))
+        self.slots = np.zeros((-(-len(languages) // WORD_BITS), 1 << SLOT_BITS), np.uint64)
+        for gram, language in members:
+            word, bit = self._bit(language)
             for at in self._at(gram.astype(np.uint64)):
-                np.bitwise_or.at(self.slots, at, np.uint64(1) << language.astype(np.uint64))
-        fill = [np.count_nonzero(self.slots >> np.uint64(k) & np.uint64(1)) / len(self.slots) for k in range(len(languages))]
+                self.slots[word, at] |= bit
+        fill = [np.count_nonzero(self.slots[word] & bit) / (1 << SLOT_BITS) for word, bit in map(self._bit, range(len(languages)))]
         self.chance = np.array([f**HASHES for f in fill])
 
+    @staticmethod
+    def _bit(language: int) -> tuple[int, np.uint64]:
+        return language // WORD_BITS, np.uint64(1) << np.uint64(language % WORD_BITS)
+
     @staticmethod
     def _at(gram: np.ndarray) -> list[np.ndarray]:
         return [(gram * f >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for f in FACTORS]
@@ -64,18 +70,19 @@ class Filters:
         n = len(offsets) - 1
         total = np.bincount(row, minlength=n)
         first, second, third = self._at(key.astype(np.uint64))
-        masks = self.slots[first] & self.slots[second] & self.slots[third]
         share = np.zeros((n, len(self.languages)))
-        for k in range(len(self.languages)):
-            hits = np.bincount(row, weights=(masks >> np.uint64(k) & np.uint64(1)).astype(float), minlength=n)
-            share[:, k] = np.clip((hits - total * self.chance[k]) / np.maximum(total, 1) / (1 - self.chance[k]), 0, 1)
+        for word, slots in enumerate(self.slots):
+            masks = slots[first] & slots[second] & slots[third]
+            for k in range(word * WORD_BITS, min((word + 1) * WORD_BITS, len(self.languages))):
+                hits = np.bincount(row, weights=(masks >> np.uint64(k % WORD_BITS) & np.uint64(1)).astype(float), minlength=n)
+                share[:, k] = np.clip((hits - total * self.chance[k]) / np.maximum(total, 1) / (1 - self.chance[k]), 0, 1)
         return share, total
 
 
 def fit(labelled: DataFrame) -> Filters:
     """Filters from all rows of ``labelled`` (text, lang); rows with a null in either are passed over.
 
-    What reaches the driver is bounded by GRAMS rows for each of LANGUAGES languages (the most frequent ones).
+    Every language takes part. What reaches the driver is at most GRAMS packed grams of each.
     """
     small_batches(labelled.sparkSession)
 
@@ -100,21 +107,29 @@ def fit(labelled: DataFrame) -> Filters:
 
     rows = labelled.select("text", "lang").filter("text is not null and lang is not null").mapInArrow(count, "lang string, gram long, n long")
     counts = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    languages = sorted(totals)
+    totals = counts.groupBy("lang").agg(F.sum("n").cast("double").alias("total"))
+    languages = sorted(r["lang"] for r in totals.select("lang").collect())
     if not languages:
         counts.unpersist()
         return Filters([], [])
-    rate = F.col("n") / F.create_map(*[F.lit(x) for name in languages for x in (name, float(totals[name]))])[F.col("lang")]
     top = (
-        counts.filter(F.col("lang").isin(languages))
-        .withColumn("rate", rate)
+        counts.join(F.broadcast(totals), "lang")
+        .withColumn("rate", F.col("n") / F.col("total"))
         .withColumn("best", F.max("rate").over(Window.partitionBy("gram")))
         .filter(F.col("rate") >= SHARE * F.col("best"))
         .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
         .filter(F.col("place") <= GRAMS)
     )
-    members = [(r["gram"], languages.index(r["lang"])) for r in top.select("lang", "gram").collect()]
+
+    def packed(batches):
+        for batch in batches:
+            names, gram = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy().astype(np.uint32)
+            own = sorted(set(names))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([gram[names == x].tobytes() for x in own], pa.binary())], ["lang", "grams"])
+
+    number = {x: k for k, x in enumerate(languages)}
+    got = top.select("lang", "gram").mapInArrow(packed, "lang string, grams binary").collect()
+    members = [(np.frombuffer(r["grams"], np.uint32), number[r["lang"]]) for r in got]
     counts.unpersist()
     return Filters(languages, members)
 

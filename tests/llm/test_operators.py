@@ -311,6 +311,16 @@ def test_language(spark, clashing, empty):
     assert language_id.identified(empty, filters).count() == 0
 
 
+def test_language_learns_every_language(spark):
+    r = random.Random(11)
+    words = {f"l{k:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(140)}
+    data = [(k, " ".join(r.choice(words[lang]) for _ in range(20 + 3 * (k % 7))), lang) for k, lang in enumerate([*words] * 3)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    filters = language_id.fit(df.filter("doc_id < 280"))
+    assert filters.languages == sorted(words)
+    assert all(x["lang_pred"] == x["lang"] for x in language_id.identified(df.filter("doc_id >= 280"), filters).collect())
+
+
 # -- tokens -------------------------------------------------------------------------------------------------
 
 
