@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessella.llm.bpe import encoded
 from tessella.llm.common import table, use_checkpoints
 from tessella.llm.decontaminate import contaminated
-from tessella.llm.jaccard_join import classes
+from tessella.llm.jaccard_join import classified, keyed
 from tessella.llm.language_id import fit, identified
 from tessella.llm.line_dedup import cleaned
 
@@ -36,12 +36,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least doc_id of each class; of repeated rows one. Rows without a doc_id stay."""
-    first = classes(docs).filter("doc_id is null or doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.join(first.filter("doc_id is not null").select("doc_id"), "doc_id", "left_semi")
-    if first.filter("doc_id is not null and n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """Keeps the document of the least doc_id of each class; of repeated rows one. Rows without a doc_id stay.
+
+    Rows that share a doc_id are different documents if they are of different classes, or differ and have no words.
+    """
+    own = classified(docs).filter("doc_id = class_id").groupBy("doc_id", "root").agg(F.min("node").alias("_node"), F.count("*").alias("n"))
+    first = own.select(F.col("doc_id").alias("_id"), "_node", "n")
+    rows = keyed(docs.filter("doc_id is not null"))
+    kept = rows.join(first, (F.col("doc_id") == F.col("_id")) & F.col("_key").eqNullSafe(F.col("_node")), "left_semi")
+    if first.filter("n > 1").limit(1).count():
+        kept = kept.withColumn("_text", F.when(F.col("_key").isNull(), F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_key", "_text"])
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,6 +81,41 @@ def _described(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n_words long, sig binary")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` with ``_key``, the hash of the word sequence; null for a text without words."""
+    small_batches(docs.sparkSession)
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            keys: list = []
+            for _, _, data, offsets in chunks(batch.column("text")):
+                words = Words(data, offsets, NOT_BLANK)
+                k1 = sequence_hash(words.hashes, words.first[:-1], words.counts, 1).view(np.int64)
+                keys += pa.array(k1, pa.int64(), mask=words.counts == 0).to_pylist()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(keys, pa.int64())], [*names, "_key"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{kinds}, _key long")
+
+
+def _once(texts: DataFrame) -> DataFrame:
+    """(doc_id, _key, text) without the repeats of a batch and, where doc_id is null, of a task."""
+
+    def run(batches):
+        seen: set = set()
+        for batch in batches:
+            keep = []
+            for at, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    keep.append(at)
+            seen = {key for key in seen if key[0] is None}
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return texts.select("doc_id", "_key", "text").mapInArrow(run, "doc_id long, _key long, text string")
+
+
 def _sets(texts: DataFrame) -> DataFrame:
     """node and its sorted distinct shingles (binary) from (node, text)."""
 
@@ -222,6 +257,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     included. A text without words, or null, is a class of its own with its doc_id. A null doc_id is kept and never
     names a class unless no row of the class has another. Repeated rows are copies of each other.
     """
+    return classified(docs, similarity).drop("node", "root")
+
+
+def classified(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``classes`` with the key of the text and of its component; both are null for a text without words."""
     use_checkpoints(docs.sparkSession)
     small_batches(docs.sparkSession)
     rows = _described(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).checkpoint()
@@ -232,10 +272,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     edges = banded.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct().checkpoint()
     roots = components(edges)
 
-    # The text of every candidate, once, from the first row that bears it.
+    # The text of every candidate from the first row that bears it; an id may be null or shared by other texts.
     wanted = roots.join(texts.select("node", "sig", F.col("first").alias("doc_id")), "node")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    some = source.join(wanted.select("node", "doc_id"), source["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
+    source = _once(keyed(source))
+    some = source.join(wanted.select("node", "doc_id"), (source["_key"] == wanted["node"]) & source["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
     grams = _sets(some).groupBy("node").agg(F.max("grams").alias("grams"))
     member = wanted.select("node", "root", "sig").join(grams, "node").checkpoint()
     size = member.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("grams") / 8).alias("s"))
@@ -250,12 +291,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     known = texts.select("node", "first", "n_copies").join(joined, "node", "left").join(counts, "node", "left")
     named = known.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("class_id"))
-    known = known.withColumn("root", F.coalesce("root", "node")).join(named, "root").select("node", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = known.withColumn("root", F.coalesce("root", "node")).join(named, "root").select("node", "root", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return rows.select("doc_id", F.when(F.col("n_words") > 0, F.col("k1")).alias("node")).join(known, "node", "left").select(
         "doc_id",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "node",
+        "root",
     )
 
 

@@ -259,6 +259,16 @@ def test_near_duplicates(clashing):
     plainly(jaccard_join.classes(clashing).collect(), classes_plainly(rows()))
 
 
+def test_near_duplicates_of_shared_and_missing_ids(spark):
+    r = random.Random(21)
+    data = []
+    for k in range(6):
+        words = sentence(r, 80).split()
+        near = [*words[:40], "changed", *words[41:]]
+        data += [(None if k % 2 else 7, " ".join(words)), (None if k % 2 else 100 + k, " ".join(near)), (None, " ".join(words))]
+    plainly(jaccard_join.classes(spark.createDataFrame(data, "doc_id long, text string")).collect(), classes_plainly(data))
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_DOCUMENTS", 7)
     r = random.Random(2)

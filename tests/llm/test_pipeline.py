@@ -53,3 +53,13 @@ def test_stages_keep_the_columns(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_near_duplicates_keep_different_texts_of_one_id(spark):
+    r = random.Random(31)
+    a, b, c = (sentence(r, 60) for _ in range(3))
+    data = [(5, a), (5, a), (5, b), (5, b + " end"), (6, a), (4, c), (5, c), (7, "."), (7, "."), (None, a), (8, ""), (8, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = [tuple(x) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len([x for x in got if x[1] in (b, b + " end")]) == 1
+    assert sorted((x for x in got if x[1] not in (b, b + " end")), key=str) == sorted([(5, a), (4, c), (7, "."), (None, a), (8, "")], key=str)
