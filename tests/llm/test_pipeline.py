@@ -8,7 +8,7 @@ import random
 import corpus_pipeline
 import pytest
 from awkward_rows import COLUMNS, rows, sentence
-from test_operators import BENCH, bench_rows, classes_plainly, leaks_plainly, lines_plainly
+from test_corpus_operators import BENCH, bench_rows, classes_plainly, leaks_plainly, lines_plainly
 
 from tessella.llm import bpe
 
