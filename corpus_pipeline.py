@@ -20,6 +20,9 @@ from tessella.llm.line_dedup import cleaned
 
 #: A document goes if the best language contains less than this share of its letter grams.
 MIN_COVERAGE = 0.2
+#: A text stays whole if boilerplate lines are more than this share of it: it is a copy of other texts, and the next
+#: stage, which keeps one of them, has to see it whole.
+COPY_SHARE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +32,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes boilerplate lines out of the texts; every document stays, as do texts without such lines."""
+    """Takes boilerplate lines out of the texts; every document stays, and copies (see COPY_SHARE) stay whole."""
     text = F.when(F.col("text").isNotNull(), F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
     changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
-    return cleaned(docs).withColumns(changed).select(*docs.columns)
+    return cleaned(docs, max_share=COPY_SHARE).withColumns(changed).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
