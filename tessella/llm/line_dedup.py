@@ -4,8 +4,8 @@ Every line (trimmed, not blank) is known by a 128-bit hash. The sites of a line
 sketches merge by aggregation. A line is boilerplate if it stands on at least ``MIN_SITES`` distinct sites. The
 estimate decides alone only where it is far from that number; lines near it get an exact distinct count.
 
-Boilerplate lines leave a document unless they make up more than ``MAX_SHARE`` of its characters: such a text is a
-copy of another one rather than a page with a notice on it, and near-duplicate removal has to see it whole.
+Boilerplate lines leave every document. A caller that looks for copies afterwards may name a share: texts of which
+such lines make up more are then left whole, as copies of each other rather than pages with a notice on them.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import let, table
 
-MIN_SITES, MAX_SHARE = 10, 0.5
+MIN_SITES = 10
 #: Registers of a sketch, as a power of two, and how far (as a share) an estimate may err and still decide alone:
 #: more than five standard errors, 1.04 / sqrt(2 ** LG_REGISTERS) each.
 LG_REGISTERS, MARGIN = 10, 0.2
@@ -34,27 +34,30 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(a, b) of every line that stands on at least ``min_sites`` distinct non-null sources.
 
     Each task reduces a line to one sketch before anything is shuffled, so a line that stands everywhere weighs no more
-    than a rare one. For the exact counts the rows of a line and site are reduced to one likewise.
+    than a rare one. For the exact counts only the rows of lines near the threshold are reduced to one a line and site.
     """
     keys = docs.filter("source is not null").select("source", F.explode(F.array_compact(line_keys(F.col("text")))).alias("k"))
     keys = keys.select("k.a", "k.b", "source")
     lines = keys.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(LG_REGISTERS))).alias("sites"))
     sure = lines.filter(F.col("sites") > min_sites * (1 + MARGIN)).select("a", "b")
     near = lines.filter(F.col("sites").between(min_sites * (1 - MARGIN), min_sites * (1 + MARGIN))).select("a", "b")
-    exact = keys.distinct().join(near, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("sites"))
+    exact = keys.join(near, ["a", "b"], "left_semi").distinct().groupBy("a", "b").agg(F.count("*").alias("sites"))
     return sure.unionByName(exact.filter(F.col("sites") >= min_sites).select("a", "b"))
 
 
-def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float | None = None) -> DataFrame:
     """All columns of ``docs`` with ``n_lines`` (not blank), ``n_boilerplate``, ``n_removed`` and ``kept``, the text left.
 
     Kept lines stay as they were, blank ones included, joined by line feeds. A null text counts as empty; a null source
     is no site. Repeated rows are one site's lines however often they come. Columns with the names of results are
-    replaced, others pass through. Whether a line goes depends on all documents, never on their order.
+    replaced, others pass through. Whether a line goes depends on all documents, never on their order. With
+    ``max_share`` a text is left whole if boilerplate makes up more than that share of the characters of its lines.
     """
     docs = docs.drop("n_lines", "n_boilerplate", "n_removed", "kept")
     wide = boilerplate(docs, min_sites)
-    row = lambda salt: F.xxhash64(F.col("text"), F.col("source"), F.lit(salt))
+    # With the id, copies of one text are different keys and spread over the tasks.
+    own = [F.col(c) for c in ("doc_id", "source", "text") if c in docs.columns]
+    row = lambda salt: F.xxhash64(*own, F.lit(salt))
     found = docs.select(row(1).alias("_ld_1"), row(2).alias("_ld_2"), F.explode(F.array_distinct(F.array_compact(line_keys(F.col("text"))))).alias("k"))
     # Rows of a frequent line are dealt to SALTS parts; the list, one row a line, is repeated for each.
     found = found.select("_ld_1", "_ld_2", "k.a", "k.b", F.pmod("_ld_1", F.lit(SALTS)).cast("int").alias("part"))
@@ -71,7 +74,7 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_
             size = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda n, y: n + F.length(y["line"]))
             full = F.filter(x, lambda y: y["key"].isNotNull())
             gone = F.filter(full, lambda y: F.array_contains(hits, y["key"]))
-            copy = size(gone) > max_share * size(full)
+            copy = F.lit(False) if max_share is None else size(gone) > max_share * size(full)
             stay = F.when(copy, x).otherwise(F.filter(x, lambda y: y["key"].isNull() | ~F.array_contains(hits, y["key"])))
             return F.struct(
                 F.size(full).cast("long").alias("n_lines"),
@@ -98,14 +101,8 @@ WITH lines AS (
   FROM documents),
 bare AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM lines),
 wide AS (SELECT bare FROM bare WHERE bare <> '' AND source IS NOT NULL GROUP BY bare HAVING count(DISTINCT source) >= {MIN_SITES}),
-marked AS (SELECT b.*, w.bare IS NOT NULL AS hit FROM bare b LEFT JOIN wide w ON b.bare = w.bare),
-judged AS (
-  SELECT doc_id, count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (hit) AS n_boilerplate,
-         coalesce(sum(length(line)) FILTER (hit), 0) > {MAX_SHARE} * coalesce(sum(length(line)) FILTER (bare <> ''), 0) AS copy
-  FROM marked GROUP BY doc_id)
-SELECT j.doc_id, j.n_lines, j.n_boilerplate, CASE WHEN j.copy THEN 0 ELSE j.n_boilerplate END AS n_removed,
-       sha256(coalesce(k.kept, '')) AS kept_sha256
-FROM judged j LEFT JOIN (
-  SELECT m.doc_id, string_agg(m.line, chr(10) ORDER BY m.pos) AS kept
-  FROM marked m JOIN judged j ON m.doc_id = j.doc_id WHERE j.copy OR NOT m.hit GROUP BY m.doc_id) k ON j.doc_id = k.doc_id
+marked AS (SELECT b.*, w.bare IS NOT NULL AS hit FROM bare b LEFT JOIN wide w ON b.bare = w.bare)
+SELECT doc_id, count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (hit) AS n_boilerplate, count(*) FILTER (hit) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT hit), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
 """

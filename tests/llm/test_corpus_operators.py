@@ -97,14 +97,87 @@ def test_fingerprints_feel_edits_and_order(spark):
 
 
 def test_fingerprints_of_awkward_rows(spark, clashing, empty):
-    assert order_minhash.edited(clashing).count() == len(set(rows()))
+    assert order_minhash.edited(clashing).count() == len(rows())
     assert order_minhash.edited(empty).count() == 0
 
 
+def sketches_plainly(text):
+    """Order MinHash by its definition: every order sorts all numbered k-mers."""
+    import xxhash
+
+    def h(*values):
+        seed = 42
+        for v in values:
+            if v is not None:
+                raw = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True)
+                seed = xxhash.xxh64_intdigest(raw, seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    words = []
+    for w in re.split("[\x20\t-\r]+", text or ""):
+        words += [] if not w else [*w] if len(w) > order_minhash.LONG else [w]
+    if not words:
+        return [0] * order_minhash.SKETCHES
+    seen, kmers = Counter(), []
+    for place, (a, b) in enumerate(zip(words, [*words[1:], None], strict=True)):
+        key = h(a, b) >> 31
+        seen[key] += 1
+        kmers.append((h((key, 8), (seen[key], 4)) >> 31, place))
+    out = []
+    for b in range(order_minhash.SKETCHES):
+        named = lambda k, b=b: k >> 28 == b - 16
+        seeded = [(0, k, p) if named(k) else (1, h((k, 8), (b, 4)) >> 31, p) for k, p in kmers]
+        least = sorted((p, k & (1 << 33) - 1) for _, k, p in sorted(seeded)[: order_minhash.LENGTH])
+        out.append(h(*[(k, 8) for _, k in least]) & 0xFFFFFFFF)
+    return out
+
+
+def test_fingerprints_match_plain_order_minhash(spark):
+    r = random.Random(14)
+    texts = [None, "", " \n", "one", "one two", "one one one one", *[sentence(r, n) for n in (3, 12, 40, 100, 400, 2000)], "漢字" * 260, "x" * 500 + "y", "🙂" * 40 + " ab " + "é" * 17]
+    got = order_minhash.fingerprinted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for x in got:
+        assert x["signature"] == sketches_plainly(x["text"]), x["doc_id"]
+
+
+def test_short_texts_have_independent_sketches(spark):
+    text = sentence(random.Random(7), 12)
+    sig = order_minhash.fingerprinted(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["signature"]
+    assert len(set(sig)) > 18
+
+
+@pytest.mark.parametrize("kind", ["words", "ideographs", "letters"])
+def test_likeness_falls_with_edits(spark, kind):
+    r = random.Random(23)
+    pick = {"words": lambda: sentence(r, 1) + " ", "ideographs": lambda: chr(0x4E00 + r.randrange(3000)), "letters": lambda: r.choice("abcdefghijklmnopqrstuvwxyz")}[kind]
+    parts = [pick() for _ in range(520)]
+    texts = []
+    for edits in (0, 1, 20, 120, 520):
+        at = set(r.sample(range(520), edits))
+        texts.append("".join(pick() if k in at else p for k, p in enumerate(parts)))
+    texts.append("".join(parts) + pick())
+    sig = [x["signature"] for x in order_minhash.fingerprinted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    like = [sum(a == b for a, b in zip(sig[0], s, strict=True)) for s in sig]
+    assert like[0] == 32 and like[1] >= 28 and like[5] >= 28 and like[1] > like[2] > like[3] >= like[4] and like[4] < 8
+
+
+@pytest.mark.parametrize("ids", [[1, 10**15], "random", [0, 1, 2, 3, 2**62], [None, None, 5, 5, -(2**62)]])
+def test_fingerprints_of_sparse_ids(spark, ids):
+    r = random.Random(8)
+    ids = [r.getrandbits(63) for _ in range(200)] if ids == "random" else ids
+    data = [(i, sentence(r, 6 + k % 3)) for k, i in enumerate(ids)]
+    got = order_minhash.edited(spark.createDataFrame(data + data[:1], "doc_id long, text string").repartition(7)).collect()
+    assert sorted((str(x["doc_id"]), x["text"]) for x in got) == sorted((str(i), t) for i, t in data + data[:1])
+    if len(set(ids)) == len(ids):
+        order = sorted(data, reverse=True)
+        want = {i: t[: len(t) - len(t) // 2] + u[: len(t) // 2] for (i, t), (_, u) in zip(order, [*order[1:], order[0]], strict=True)}
+        assert {x["doc_id"]: x["edited"] for x in got} == want
+
+
 # -- lines --------------------------------------------------------------------------------------------------
 
 
-def lines_plainly(data, least):
+def lines_plainly(data, least, share=None):
     blank = " \t\r\x0b\f"
     sites = {}
     for _, t, _, s, _ in data:
@@ -116,14 +189,15 @@ def lines_plainly(data, least):
         parts = (t or "").split("\n")
         full = [x for x in parts if x.strip(blank)]
         gone = [x for x in full if x.strip(blank) in wide]
-        copy = sum(map(len, gone)) > 0.5 * sum(map(len, full))
+        copy = share is not None and sum(map(len, gone)) > share * sum(map(len, full))
         yield doc, len(full), len(gone), 0 if copy else len(gone), "\n".join(x for x in parts if copy or x.strip(blank) not in wide)
 
 
 @pytest.mark.parametrize("least", [2, 10])
-def test_lines(clashing, least):
-    got = line_dedup.cleaned(clashing, least).select("doc_id", "n_lines", "n_boilerplate", "n_removed", "kept").collect()
-    plainly(got, lines_plainly(rows(), least))
+@pytest.mark.parametrize("share", [None, 0.5])
+def test_lines(clashing, least, share):
+    got = line_dedup.cleaned(clashing, least, share).select("doc_id", "n_lines", "n_boilerplate", "n_removed", "kept").collect()
+    plainly(got, lines_plainly(rows(), least, share))
     assert any(x["n_removed"] for x in got)
 
 

@@ -33,7 +33,7 @@ def folder(spark, tmp_path_factory):
 
 def test_pipeline(spark, folder):
     data = [d for d in documents() if d[1] and any(c.isalpha() for c in d[1])]
-    lines = {d[0]: x for d, x in zip(data, lines_plainly(data, 10), strict=True)}
+    lines = {d[0]: x for d, x in zip(data, lines_plainly(data, 10, corpus_pipeline.COPY_SHARE), strict=True)}
     data = [(d[0], lines[d[0]][4] if lines[d[0]][3] else d[1], *d[2:]) for d in data]
     assert any(x[3] for x in lines.values())
     first = {d for d, name, *_ in classes_plainly(data) if d == name}
