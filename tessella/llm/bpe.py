@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,15 @@ from tessella.llm.common import small_batches, table
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pre-tokens that a worker keeps; longer ones than KEEP_CHARS are never kept.
-KEEP, KEEP_CHARS = 300_000, 64
+#: Pre-tokens that a worker keeps, in two generations; longer ones than KEEP_CHARS are never kept.
+KEEP, KEEP_CHARS = 400_000, 64
+#: Characters of text that are taken together, unless one text alone is longer.
+TOGETHER = 1 << 20
+#: Words of more bytes are merged with a heap; below, scanning a short list is faster.
+SHORT = 48
 NONE = np.int64(1 << 40)
+#: Stands between words in one string of bytes; no piece holds it.
+BETWEEN = "\u0100"
 
 
 def byte_letters() -> dict[str, int]:
@@ -32,10 +40,24 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def plane_pattern() -> re.Pattern:
+    r"""PRE_TOKEN for texts of the basic plane, where ``re`` looks a character up in a table.
+
+    Letters come first, which changes nothing: no other alternative starts with one.
+    """
+    import regex
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    ranges = lambda p: "".join(f"\\u{ord(run[0]):04x}-\\u{ord(run[-1]):04x}" for run in regex.findall(p, every))
+    letter, digit = ranges(r"\p{L}+"), ranges(r"\p{N}+")
+    return re.compile(rf" ?[{letter}]+|'(?:[stmd]|re|ve|ll)| ?[{digit}]+| ?[^\s{letter}{digit}]+|\s+(?!\S)|\s+")
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -46,9 +68,17 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pieces = {i: to_bytes(s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
         self.ids = {to_bytes(s): i for s, i in vocab.items()}
-        self.longest = max(map(len, self.ids))
-        self.pre_token = regex.compile(PRE_TOKEN)
-        self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        if any(bytes([b]) not in self.ids for b in range(256)):
+            raise ValueError("the vocabulary lacks a byte")
+        self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
+        #: Finds the longest piece at each place of a string that holds bytes as its code points.
+        self.pieces_found = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            self.pieces_found.add_word(piece.decode("latin-1"), i)
+        self.pieces_found.add_word(BETWEEN, -1)
+        self.pieces_found.make_automaton()
+        self.pre_token, self.plane_token = regex.compile(PRE_TOKEN), plane_pattern()
+        self.specials = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         size = max(self.pieces) + 1
         #: Per token: the rank of the merge that makes it (-1 for a byte) and its two parts.
         self.rank, self.left, self.right = np.full(size, -1), np.arange(size), np.arange(size)
@@ -59,12 +89,15 @@ class Codec:
             self.merge[a, b] = rank, made
             if self.rank[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = rank, a, b
+        self.rank_of = {a << 32 | b: r for (a, b), (r, _) in self.merge.items()}
+        self.made = {r: m for r, m in self.merge.values()}
         keys = np.array([a * size + b for a, b in self.merge], np.int64)
         order = np.argsort(keys)
         self.size, self.pair_keys = size, keys[order]
         self.pair_ranks = np.array([r for r, _ in self.merge.values()], np.int64)[order]
         #: Ids of pre-tokens, joined by commas, and the decoded text of those few that do not come back as they were.
         self.known: dict[str, str] = {}
+        self.before: dict[str, str] = {}
         self.odd: dict[str, str] = {}
         self.judged: dict[int, bool] = {}
 
@@ -103,24 +136,36 @@ class Codec:
 
     # -- encoding -------------------------------------------------------------------------------------------
 
-    def propose(self, word: bytes) -> list[int]:
-        out, at, n, ids = [], 0, len(word), self.ids
-        while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                token = ids.get(word[at:end])
-                if token is not None:
-                    out.append(token)
-                    at = end
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-        return out
+    def propose(self, words: list[bytes]) -> np.ndarray:
+        """Greedy longest match over all words at once: token ids, with -1 after each word."""
+        text = BETWEEN.join([w.decode("latin-1") for w in words]) + BETWEEN
+        return np.fromiter((i for _, i in self.pieces_found.iter_long(text)), np.int64)
 
     def merged(self, word: bytes) -> list[int]:
-        """Exact merging with a heap of candidate pairs over a linked list: n log n for a word of n bytes."""
+        """Exact merging: the pair of lowest rank first, the leftmost of equals."""
+        if len(word) > SHORT:
+            return self._merged_long(word)
+        ids, rank, made, last = self.byte_ids, self.rank_of.get, self.made, 1 << 40
+        token = [ids[b] for b in word]
+        ranks = [rank(a << 32 | b, last) for a, b in zip(token, token[1:])]  # noqa: B905
+        while ranks:
+            least = min(ranks)
+            if least == last:
+                break
+            k = ranks.index(least)
+            token[k : k + 2] = (made[least],)
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank(token[k - 1] << 32 | token[k], last)
+            if k < len(ranks):
+                ranks[k] = rank(token[k] << 32 | token[k + 1], last)
+        return token
+
+    def _merged_long(self, word: bytes) -> list[int]:
+        """The same with a heap of candidate pairs over a linked list: n log n for a word of n bytes."""
         import heapq
 
-        token = [self.ids[word[k : k + 1]] for k in range(len(word))]
+        token = [self.byte_ids[b] for b in word]
         after, before = [*range(1, len(token)), -1], [*range(-1, len(token) - 1)]
         heap = [(m[0], k, token[k], token[k + 1], m[1]) for k in range(len(token) - 1) if (m := self.merge.get((token[k], token[k + 1])))]
         heapq.heapify(heap)
@@ -139,11 +184,10 @@ class Codec:
 
     def learn(self, words: list[str]) -> None:
         """Add pre-tokens to the table, each decoded from its ids and compared."""
-        proposed = [self.propose(w.encode()) for w in words]
-        sizes = np.array([len(p) for p in proposed], np.int64)
-        flat = np.array([t for p in proposed for t in p], np.int64)
-        word = np.repeat(np.arange(len(words)), sizes)
-        seam = np.flatnonzero(word[1:] == word[:-1]) if len(flat) else np.zeros(0, np.int64)
+        raw = [w.encode() for w in words]
+        flat = self.propose(raw)
+        ends = np.flatnonzero(flat < 0)
+        seam = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
         key, back = np.unique(flat[seam] * self.size + flat[seam + 1], return_inverse=True)
         verdict = np.array([self.judged.get(k, -1) for k in key.tolist()], np.int8)
         new = np.flatnonzero(verdict < 0)
@@ -151,48 +195,68 @@ class Codec:
         if len(self.judged) + len(new) > KEEP:
             self.judged.clear()
         self.judged.update(zip(key[new].tolist(), verdict[new].tolist(), strict=True))
-        for k in np.unique(word[seam[verdict[back] == 0]]).tolist():
-            proposed[k] = self.merged(words[k].encode())
-        for w, p in zip(words, proposed, strict=True):
-            self.known[w] = ",".join(map(str, p))
-            back = b"".join(map(self.pieces.__getitem__, p))
-            if back != w.encode():
-                self.odd[w] = back.decode("utf-8", "replace")
+        failed = np.zeros(len(words), bool)
+        failed[np.searchsorted(ends, seam[verdict[back] == 0])] = True
+        proposed, at, pieces = flat.tolist(), 0, self.pieces
+        for w, b, end, bad in zip(words, raw, ends.tolist(), failed.tolist(), strict=True):
+            ids = self.merged(b) if bad else proposed[at:end]
+            at = end + 1
+            self.known[w] = ",".join(map(str, ids))
+            decoded = b"".join([pieces[i] for i in ids])
+            if decoded != b:
+                self.odd[w] = decoded.decode("utf-8", "replace")
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text; the strings of special tokens are pre-tokens of their own."""
+        plane = len(text.encode("utf-16-le")) == 2 * len(text)
+        find = (self.plane_token if plane else self.pre_token).findall
         if self.specials is None or not any(s in text for s in self.special):
-            return self.pre_token.findall(text)
+            return find(text)
         out, at = [], 0
         for m in self.specials.finditer(text):
-            out += [*self.pre_token.findall(text[at : m.start()]), m[0]]
+            out += [*find(text[at : m.start()]), m[0]]
             at = m.end()
-        return out + self.pre_token.findall(text[at:])
+        return out + find(text[at:])
 
-    def batch(self, texts: list[str | None]) -> list[tuple[str, int, str]]:
+    def batch(self, texts: list[str | None]) -> Iterator[tuple[str, int, str]]:
         """(ids joined by commas, number of ids, decoded text) of every text."""
-        out, known, odd = [], self.known, self.odd
+        held, size = [], 0
         for text in texts:
-            words = self.split(text or "")
-            new = {w for w in words if w not in known}
-            if new:
-                if len(known) + len(new) > KEEP:
-                    known.clear()
-                    odd.clear()
-                    new = set(words)
-                for special, i in self.special.items():
-                    if special in new:
-                        known[special] = str(i)
-                        new.discard(special)
-                self.learn(list(new))
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= TOGETHER:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, texts: list[str]) -> Iterator[tuple[str, int, str]]:
+        split = [self.split(t) for t in texts]
+        words = set().union(*split)
+        known, before = self.known, self.before
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > KEEP // 2:  # what was met since the last change stays at hand, the rest goes
+            before, known = self.before, self.known = known, {}
+            new = list(words)
+            self.odd = {w: d for w, d in self.odd.items() if w in before}
+        unseen = []
+        for w in new:
+            if w in before:
+                known[w] = before[w]
+            elif w in self.special:
+                known[w] = str(self.special[w])
+            else:
+                unseen.append(w)
+        if unseen:
+            self.learn(unseen)
+        odd = self.odd
+        for words in split:
             ids = ",".join([known[w] for w in words])
             decoded = "".join([odd.get(w, w) for w in words]) if odd else "".join(words)
-            out.append((ids, ids.count(",") + 1 if words else 0, decoded))
-            for w in new:
-                if len(w) > KEEP_CHARS:
-                    known.pop(w, None)
-                    odd.pop(w, None)
-        return out
+            yield ids, ids.count(",") + 1 if words else 0, decoded
+        for w in unseen:
+            if len(w) > KEEP_CHARS:
+                del known[w]
+                odd.pop(w, None)
 
 
 _codecs: dict[str, Codec] = {}
@@ -225,7 +289,7 @@ def encoded(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataF
     def run(batches):
         own = codec(path or default_vocabulary())
         for batch in batches:
-            got = own.batch(batch.column("text").to_pylist())
+            got = list(own.batch(batch.column("text").to_pylist()))
             columns = [batch.column(c) for c in names]
             columns.append(pa.array([g[1] for g in got], pa.int64()))
             columns.append(pa.array([hashlib.sha256(g[0].encode()).hexdigest() for g in got], pa.string()))
