@@ -2,13 +2,17 @@
 
 1. Documents with the same words in the same order form one class, represented once; copies are never compared.
 2. A representative's distinct word 5-grams give ``BANDS * ROWS`` MinHash values. Representatives that agree on a
-   band meet in a bucket; each bucket links its members to its least one, and connected components of these links hold
-   every pair of texts that share a bucket. At similarity 0.8 a pair misses all buckets with probability below 4e-8.
-3. A component is dealt to blocks of bounded size, and each pair of blocks is one unit of work, so a component of any
-   size spreads over many tasks. Inside a unit MinHash values are compared ``STEP`` at a time, and pairs go as
-   soon as the posterior probability (uniform prior) that their similarity reaches the threshold is below ``EPSILON``.
-   The rest is verified exactly on the 5-gram sets. A unit returns a row per document: its number of links
-   and the least member it is connected with. Pairs are never shuffled.
+   band meet in a bucket. At similarity 0.8 a pair misses all buckets with probability below 4e-8. Each bucket links its
+   members to its least one; a connected component of these links holds all buckets of its texts.
+3. A component that fits in a block is one unit of work: each of its texts is sent once, however many buckets it is in.
+   A larger one is compared in whichever way needs fewer comparisons: as a whole, or bucket by bucket, where a pair
+   belongs to the first band that it shares. So texts that merely hang together in a chain are never all compared, and
+   those that are all alike are not compared once a band. A unit beyond the size of a block is dealt to blocks, and each
+   pair of blocks is a task's work.
+   Inside a unit MinHash values are compared ``STEP`` at a time, and pairs go as soon as the posterior probability
+   (uniform prior) that their similarity reaches the threshold is below ``EPSILON``. The rest is verified exactly on the
+   5-gram sets. A unit returns a row per document: its number of links and the least member it is connected with. Pairs
+   are never shuffled.
 4. Components of the verified links are the classes.
 """
 
@@ -28,7 +32,7 @@ from tessella.llm.textkernel import NOT_BLANK, Words, chunks, mixed, sequence_ha
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, STEP, EPSILON = 24, 3, 8, 1e-6
-#: Most documents and 5-grams of a block, on average over the blocks of a component.
+#: Most documents and 5-grams of a block, on average over the blocks of a unit.
 BLOCK_DOCUMENTS, BLOCK_SHINGLES = 512, 2_000_000
 _FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 
@@ -82,38 +86,55 @@ def _described(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with ``_key``, the hash of the word sequence; null for a text without words."""
+    """All columns of ``docs`` with ``_k1`` and ``_k2``, hashes of the word sequence; null for a text without words."""
     small_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches):
         for batch in batches:
-            keys: list = []
+            keys: tuple[list, list] = [], []
             for _, _, data, offsets in chunks(batch.column("text")):
                 words = Words(data, offsets, NOT_BLANK)
-                k1 = sequence_hash(words.hashes, words.first[:-1], words.counts, 1).view(np.int64)
-                keys += pa.array(k1, pa.int64(), mask=words.counts == 0).to_pylist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(keys, pa.int64())], [*names, "_key"])
+                for salt, k in enumerate(keys, 1):
+                    k += pa.array(sequence_hash(words.hashes, words.first[:-1], words.counts, salt).view(np.int64), mask=words.counts == 0).to_pylist()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(k, pa.int64()) for k in keys)], [*names, "_k1", "_k2"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, _key long")
+    return docs.mapInArrow(run, f"{kinds}, _k1 long, _k2 long")
+
+
+def namesakes(keys: DataFrame) -> DataFrame | None:
+    """(k1, k2) of texts whose first hash another text, of a lesser second hash, has too; None if there are none."""
+    least = keys.groupBy("k1").agg(F.min("k2").alias("least"), F.max("k2").alias("most")).filter("least < most").checkpoint()
+    if not least.limit(1).count():
+        return None
+    return keys.join(least, "k1").filter("k2 > least").select("k1", "k2").distinct()
+
+
+def noded(rows: DataFrame, twice: DataFrame | None) -> DataFrame:
+    """``rows`` with ``node``, one long for each pair (k1, k2): k1 itself, or a hash of both for ``namesakes``."""
+    if twice is None:
+        return rows.withColumn("node", F.col("k1"))
+    rows = rows.join(twice.withColumn("_twice", F.lit(True)), ["k1", "k2"], "left")
+    return rows.withColumn("node", F.when(F.col("_twice"), F.xxhash64("k1", "k2")).otherwise(F.col("k1"))).drop("_twice")
 
 
 def _once(texts: DataFrame) -> DataFrame:
-    """(doc_id, _key, text) without the repeats of a batch and, where doc_id is null, of a task."""
+    """(doc_id, k1, k2, text) without the repeats of a batch and, where doc_id is null, of a task."""
+    names = ["doc_id", "k1", "k2"]
 
     def run(batches):
         seen: set = set()
         for batch in batches:
             keep = []
-            for at, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            for at, key in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
                 if key not in seen:
                     seen.add(key)
                     keep.append(at)
             seen = {key for key in seen if key[0] is None}
             yield batch.take(pa.array(keep, pa.int64()))
 
-    return texts.select("doc_id", "_key", "text").mapInArrow(run, "doc_id long, _key long, text string")
+    return texts.select(*names, "text").mapInArrow(run, "doc_id long, k1 long, k2 long, text string")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -144,10 +165,15 @@ def least_matches(similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-def linked(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (one of ``left``, one of ``right``) of similar sets, each pair once."""
+def linked(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float, band: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (one of ``left``, one of ``right``) of similar sets, each pair once; with a band those that share it first."""
     same = left is right
     alive = np.triu(np.ones((len(left), len(left)), bool), 1) if same else np.ones((len(left), len(right)), bool)
+    for b in range(band + 1):
+        agreed = np.ones(alive.shape, bool)
+        for f in range(b * ROWS, (b + 1) * ROWS):
+            agreed &= sig[left, f][:, None] == sig[right, f][None, :]
+        alive &= agreed if b == band else ~agreed
     agree = np.zeros(alive.shape, np.int16)
     done = 0
     a, b = np.nonzero(alive)
@@ -223,15 +249,15 @@ def _verified(units: DataFrame, similarity: float) -> DataFrame:
     kinds = "node long, peer long, n_links long"
 
     def run(batches):
-        for group in _groups(batches, ["root", "i", "j"]):
+        for group in _groups(batches, ["unit", "band", "i", "j"]):
             node, block = group["node"].to_numpy(), group["block"].to_numpy()
             if len(node) < 2:
                 continue
             sig = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in group["sig"]])
             sets = [np.frombuffer(x.as_py(), np.uint64) for x in group["grams"]]
-            i, j = group["i"][0].as_py(), group["j"][0].as_py()
+            i, j, band = (group[c][0].as_py() for c in ("i", "j", "band"))
             left = np.flatnonzero(block == i)
-            a, b = linked(sig, sets, left, left if i == j else np.flatnonzero(block == j), similarity)
+            a, b = linked(sig, sets, left, left if i == j else np.flatnonzero(block == j), similarity, band)
             if not len(a):
                 continue
             links = np.bincount(a, minlength=len(node)) + np.bincount(b, minlength=len(node))
@@ -257,47 +283,76 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     included. A text without words, or null, is a class of its own with its doc_id. A null doc_id is kept and never
     names a class unless no row of the class has another. Repeated rows are copies of each other.
     """
-    return classified(docs, similarity).drop("node", "root")
+    return classified(docs, similarity).drop("k1", "k2", "root")
+
+
+def _blocks(n, shingles):
+    return F.ceil(F.greatest(n / BLOCK_DOCUMENTS, shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _bands(sig):
+    """(band, hash of its values) of each band of a signature."""
+    return F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring(sig, b * ROWS * 4 + 1, ROWS * 4)).alias("value")) for b in range(BANDS)])
+
+
+def units(member: DataFrame) -> DataFrame:
+    """(unit, band, node, sig, grams, blocks) from (root, node, sig, grams): who is compared with whom, by whole components
+    (band -1) or, where that needs fewer comparisons, by the buckets of a large component."""
+    shingles = F.sum(F.octet_length("grams") / 8)
+    size = member.groupBy("root").agg(F.count("*").alias("n"), shingles.alias("s")).select("root", "n", _blocks(F.col("n"), F.col("s")).alias("blocks")).checkpoint()
+    whole = member.join(size, "root")
+    large = size.filter("blocks > 1")
+    if not large.limit(1).count():
+        return whole.select(F.col("root").alias("unit"), F.lit(-1).alias("band"), "node", "sig", "grams", "blocks")
+    met = member.join(large.select("root", "n"), "root").select("root", "n", "node", F.octet_length("grams").alias("size"), F.explode(_bands("sig")).alias("b"))
+    buckets = met.groupBy("root", "n", "b").agg(F.count("*").alias("in"), F.sum(F.col("size") / 8).alias("s")).filter("`in` > 1")
+    buckets = buckets.select("root", "n", F.xxhash64("root", "b").alias("unit"), "b", "in", _blocks(F.col("in"), F.col("s")).alias("blocks")).checkpoint()
+    apart = buckets.groupBy("root", "n").agg(F.sum(F.col("in").cast("double") * F.col("in")).alias("pairs")).filter(F.col("pairs") < F.col("n").cast("double") * F.col("n")).select("root").checkpoint()
+    whole = whole.join(apart, "root", "left_anti").select(F.col("root").alias("unit"), F.lit(-1).alias("band"), "node", "sig", "grams", "blocks")
+    sent = member.join(apart, "root").withColumn("b", F.explode(_bands("sig")))
+    sent = sent.join(buckets.select("root", "b", "unit", "blocks"), ["root", "b"]).select("unit", "b.band", "node", "sig", "grams", "blocks")
+    return whole.unionByName(sent)
 
 
 def classified(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``classes`` with the key of the text and of its component; both are null for a text without words."""
+    """The rows of ``classes`` with the two hashes of the text and the key of its class; null for a text without words."""
     use_checkpoints(docs.sparkSession)
     small_batches(docs.sparkSession)
     rows = _described(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).checkpoint()
-    texts = rows.filter("n_words > 0").groupBy(F.col("k1").alias("node")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.min("sig").alias("sig"))
-    bands = [F.xxhash64(F.lit(b), F.substring("sig", b * ROWS * 4 + 1, ROWS * 4)) for b in range(BANDS)]
-    banded = texts.select("node", F.explode(F.array(*bands)).alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
-    edges = banded.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct().checkpoint()
+    twice = namesakes(rows.filter("n_words > 0").select("k1", "k2"))
+    rows = noded(rows, twice)
+    texts = rows.filter("n_words > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.min("sig").alias("sig"))
+    banded = texts.select("node", F.explode(_bands("sig")).alias("b")).select("node", "b.value")
+    hubs = banded.groupBy("value").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("value", "hub")
+    edges = banded.join(hubs, "value").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct().checkpoint()
     roots = components(edges)
 
     # The text of every candidate from the first row that bears it; an id may be null or shared by other texts.
     wanted = roots.join(texts.select("node", "sig", F.col("first").alias("doc_id")), "node")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    source = _once(keyed(source))
-    some = source.join(wanted.select("node", "doc_id"), (source["_key"] == wanted["node"]) & source["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
+    source = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumnsRenamed({"_k1": "k1", "_k2": "k2"})
+    source = noded(_once(source), twice)
+    some = source.join(wanted.select("node", "doc_id"), (source["node"] == wanted["node"]) & source["doc_id"].eqNullSafe(wanted["doc_id"])).select(source["node"], "text")
     grams = _sets(some).groupBy("node").agg(F.max("grams").alias("grams"))
     member = wanted.select("node", "root", "sig").join(grams, "node").checkpoint()
-    size = member.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("grams") / 8).alias("s"))
-    blocks = size.select("root", F.ceil(F.greatest(F.col("n") / BLOCK_DOCUMENTS, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = member.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "sig", "grams"
+    dealt = units(member).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "unit", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "sig", "grams"
     )
-    units = units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = _verified(units, similarity).checkpoint()
+    dealt = dealt.repartition("unit", "band", "i", "j").sortWithinPartitions("unit", "band", "i", "j")
+    links = _verified(dealt, similarity).checkpoint()
     joined = components(links.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     known = texts.select("node", "first", "n_copies").join(joined, "node", "left").join(counts, "node", "left")
     named = known.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("class_id"))
     known = known.withColumn("root", F.coalesce("root", "node")).join(named, "root").select("node", "root", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.select("doc_id", F.when(F.col("n_words") > 0, F.col("k1")).alias("node")).join(known, "node", "left").select(
+    own = lambda c: F.when(F.col("n_words") > 0, F.col(c)).alias(c)
+    return rows.select("doc_id", own("k1"), own("k2"), own("node")).join(known, "node", "left").select(
         "doc_id",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        "node",
+        "k1",
+        "k2",
         "root",
     )
 

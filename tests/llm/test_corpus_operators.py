@@ -351,6 +351,33 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     plainly(jaccard_join.classes(spark.createDataFrame(data, "doc_id long, text string")).collect(), classes_plainly(data))
 
 
+def test_near_duplicates_in_a_chain_are_compared_by_buckets(spark, monkeypatch):
+    """Texts that each share much with the next one only: linear work, and the links are those of the plain loop."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCUMENTS", 8)
+    r = random.Random(17)
+    words = sentence(r, 20 * 80 + 100).split()
+    data = [(k, " ".join(words[20 * k : 20 * k + 75])) for k in range(80)]
+    data += [(200 + k, " ".join([*words[20 * k : 20 * k + 37], "new", *words[20 * k + 37 : 20 * k + 75]])) for k in range(0, 80, 3)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    seen = []
+    kept = jaccard_join.units
+    monkeypatch.setattr(jaccard_join, "units", lambda member: seen.append((member, kept(member))) or seen[-1][1])
+    plainly(jaccard_join.classes(docs).collect(), classes_plainly(data))
+    member, unit = seen[0]
+    most = member.groupBy("root").count().agg(F.max("count")).first()[0]
+    assert most > 40 and unit.filter("band >= 0").count() > 0
+    pairs = unit.groupBy("unit", "band").agg((F.count("*") * F.count("*")).alias("n")).agg(F.sum("n")).first()[0]
+    assert pairs < most * most / 2
+
+
+def test_texts_of_one_first_hash_stay_apart(spark):
+    keys = spark.createDataFrame([(1, 5), (1, 7), (1, 7), (2, 5), (None, None)], "k1 long, k2 long")
+    twice = jaccard_join.namesakes(keys.filter("k1 is not null"))
+    got = {(x["k1"], x["k2"]): x["node"] for x in jaccard_join.noded(keys, twice).collect()}
+    assert got[1, 5] == 1 and got[2, 5] == 2 and got[1, 7] not in (1, 2) and got[None, None] is None
+    assert jaccard_join.namesakes(keys.filter("k2 = 5")) is None
+
+
 def test_near_duplicates_of_nothing(empty):
     assert jaccard_join.classes(empty).count() == 0
 
