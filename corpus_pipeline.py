@@ -43,12 +43,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that share a doc_id are different documents if they are of different classes, or differ and have no words.
     """
-    own = classified(docs).filter("doc_id = class_id").groupBy("doc_id", "root").agg(F.min("node").alias("_node"), F.count("*").alias("n"))
-    first = own.select(F.col("doc_id").alias("_id"), "_node", "n")
+    own = classified(docs).filter("doc_id = class_id").groupBy("doc_id", "root").agg(F.min(F.struct("k1", "k2")).alias("node"), F.count("*").alias("n"))
+    first = own.select(F.col("doc_id").alias("_id"), "node", "n")
     rows = keyed(docs.filter("doc_id is not null"))
-    kept = rows.join(first, (F.col("doc_id") == F.col("_id")) & F.col("_key").eqNullSafe(F.col("_node")), "left_semi")
+    same = F.col("_k1").eqNullSafe(F.col("node.k1")) & F.col("_k2").eqNullSafe(F.col("node.k2"))
+    kept = rows.join(first, (F.col("doc_id") == F.col("_id")) & same, "left_semi")
     if first.filter("n > 1").limit(1).count():
-        kept = kept.withColumn("_text", F.when(F.col("_key").isNull(), F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_key", "_text"])
+        kept = kept.withColumn("_text", F.when(F.col("_k1").isNull(), F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_k1", "_k2", "_text"])
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
