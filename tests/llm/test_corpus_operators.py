@@ -71,6 +71,39 @@ def test_pii_adds_scored_spans_and_leaves_plain_text_alone(spark):
     assert got == {0: ["key"], 1: ["identity"], 2: [], 3: ["local_phone"], 4: []}
 
 
+def test_pii_features_agree(spark):
+    rows = pii.generated(400)
+    df = spark.createDataFrame([(k, *r[:4]) for k, r in enumerate(rows)], "k int, kind string, before string, match string, after string")
+    x = F.struct("before", "match", "after")
+    got = {}
+    for kind in pii.PROPOSED:
+        for row in df.filter(F.col("kind") == kind).select("k", pii.features(kind, x).alias("f")).collect():
+            got[row["k"]] = list(row["f"])
+    assert [got[k] for k in range(len(rows))] == [pii._features(*r[:4]) for r in rows]
+    model = pii.fit()
+    scored = df.filter("kind = 'key'").select("k", model.score(pii.features("key", x)).alias("s")).collect()
+    assert all(abs(r["s"] - model.total(got[r["k"]])) < 1e-9 for r in scored)
+
+
+def test_pii_finds_assigned_secrets_and_leaves_plain_hashes(spark):
+    r = random.Random(40)
+    hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    texts = [f'{sentence(r, 8)} token = "{hexa(40)}" {sentence(r, 5)}' for _ in range(40)] + [f"{sentence(r, 8)} {hexa(40)} {sentence(r, 5)}" for _ in range(40)]
+    texts += [f"{sentence(r, 6)} 20{k}-10-12-release-notes and {k}{'0' * 18}" for k in range(10, 40)]
+    got = {x["doc_id"]: [s["kind"] for s in x["pii"]] for x in pii.detected(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[k] == ["key"] for k in range(40)) and all("key" not in got[k] for k in range(40, len(texts)))
+    model = pii.fit()
+    assert all(model.recall[k] > 0.45 for k in pii.PROPOSED), model.recall
+
+
+def test_pii_of_awkward_rows(spark, clashing, empty):
+    got = pii.detected(clashing)
+    assert sorted(got.columns) == sorted(clashing.columns)
+    have = Counter((x["doc_id"], tuple((s["start"], s["rank"], s["end"], s["kind"]) for s in x["pii"] if s["rank"] < 4)) for x in got.collect())
+    assert have == Counter((d, tuple(personal(t))) for d, t, *_ in rows())
+    assert pii.detected(empty).count() == 0
+
+
 # -- fingerprints -------------------------------------------------------------------------------------------
 
 
