@@ -30,18 +30,24 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: let(bare(x), lambda s: F.when(F.length(s) > 0, key(s))))
 
 
+def salted(lines: DataFrame) -> DataFrame:
+    """``lines`` (a, b), one row a line, repeated for each part that rows of one line are dealt to."""
+    return lines.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+
+
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(a, b) of every line that stands on at least ``min_sites`` distinct non-null sources.
 
     Each task reduces a line to one sketch before anything is shuffled, so a line that stands everywhere weighs no more
     than a rare one. For the exact counts only the rows of lines near the threshold are reduced to one a line and site.
     """
-    keys = docs.filter("source is not null").select("source", F.explode(F.array_compact(line_keys(F.col("text")))).alias("k"))
-    keys = keys.select("k.a", "k.b", "source")
+    part = F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int").alias("part")
+    keys = docs.filter("source is not null").select("source", part, F.explode(F.array_compact(line_keys(F.col("text")))).alias("k"))
+    keys = keys.select("k.a", "k.b", "source", "part")
     lines = keys.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(LG_REGISTERS))).alias("sites"))
     sure = lines.filter(F.col("sites") > min_sites * (1 + MARGIN)).select("a", "b")
     near = lines.filter(F.col("sites").between(min_sites * (1 - MARGIN), min_sites * (1 + MARGIN))).select("a", "b")
-    exact = keys.join(near, ["a", "b"], "left_semi").distinct().groupBy("a", "b").agg(F.count("*").alias("sites"))
+    exact = keys.join(salted(near), ["a", "b", "part"], "left_semi").select("a", "b", "source").distinct().groupBy("a", "b").agg(F.count("*").alias("sites"))
     return sure.unionByName(exact.filter(F.col("sites") >= min_sites).select("a", "b"))
 
 
@@ -59,10 +65,9 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float | None
     own = [F.col(c) for c in ("doc_id", "source", "text") if c in docs.columns]
     row = lambda salt: F.xxhash64(*own, F.lit(salt))
     found = docs.select(row(1).alias("_ld_1"), row(2).alias("_ld_2"), F.explode(F.array_distinct(F.array_compact(line_keys(F.col("text"))))).alias("k"))
-    # Rows of a frequent line are dealt to SALTS parts; the list, one row a line, is repeated for each.
+    # Rows of a frequent line are dealt to SALTS parts.
     found = found.select("_ld_1", "_ld_2", "k.a", "k.b", F.pmod("_ld_1", F.lit(SALTS)).cast("int").alias("part"))
-    wide = wide.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-    hits = found.join(wide, ["a", "b", "part"]).groupBy("_ld_1", "_ld_2").agg(F.collect_set(F.struct("a", "b")).alias("_ld_hits"))
+    hits = found.join(salted(wide), ["a", "b", "part"]).groupBy("_ld_1", "_ld_2").agg(F.collect_set(F.struct("a", "b")).alias("_ld_hits"))
     marked = docs.withColumns({"_ld_1": row(1), "_ld_2": row(2)}).join(hits, ["_ld_1", "_ld_2"], "left").drop("_ld_1", "_ld_2")
 
     text = F.coalesce(F.col("text"), F.lit(""))
