@@ -4,8 +4,11 @@ Each benchmark item gives windows of ``WINDOW`` consecutive words (one window of
 A document contains a window only if it contains every shingle of it, so under containment 1.0 the prefix
 that must be joined is a single shingle: the one that is rarest over all documents. Candidate places then pass a
 length and position bound (the window must fit inside the document around the shingle) and are verified word by
-word. The benchmark is the stated query set; it is taken in blocks of at most ``BLOCK_BYTES`` characters, so
-neither the driver nor a worker ever holds more than one block's index, however large the benchmark.
+word.
+
+A benchmark of at most ``BLOCK_BYTES`` characters is an index in every worker, and nothing is shuffled but counts. A
+larger one is never gathered: its shingles are counted, ordered and joined with those of the documents by Spark, and a
+bitmap of fixed size keeps all other shingles of the documents out of the shuffle.
 """
 
 from __future__ import annotations
@@ -15,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches, table
+from tessella.llm.common import small_batches, table, use_checkpoints
 from tessella.llm.textkernel import ALNUM, Words, chunks, raw, sequence_hash
 
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 3, 16 << 20
 FILTER_BITS = 18
+#: Bits of the bitmap of a larger benchmark, as a power of two: at most 2 ** (BITMAP - 6) rows of one long reach the driver.
+BITMAP = 24
 
 
 class Index:
@@ -142,7 +147,7 @@ def _scan(docs: DataFrame, index: Index, names: list[str]) -> DataFrame:
                     for s, n in zip(start[own] - words.first[r], index.size[window[own]], strict=True):
                         marked[s : s + n] = True
                     hits[low + r] = np.flatnonzero(marked).tolist()
-                    items[low + r] = sorted({*items[low + r], *(index.items[k] for k in np.unique(index.item[window[own]]))})
+                    items[low + r] = sorted({*items[low + r], *(index.items[k] for k in np.unique(index.item[window[own]]) if index.items[k] is not None)})
             done = {"hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string())), "n_words": pa.array(counts)}
             yield pa.RecordBatch.from_arrays([done[c] if c in done else batch.column(c) for c in names], names)
 
@@ -150,28 +155,162 @@ def _scan(docs: DataFrame, index: Index, names: list[str]) -> DataFrame:
     return docs.mapInArrow(scan, schema)
 
 
+def _windows(bench: DataFrame) -> DataFrame:
+    """(item_id, words, shingles) of every window; a shingle is (offset, key)."""
+
+    def run(batches):
+        for batch in batches:
+            for low, _, data, offsets in chunks(batch.column("text")):
+                words = Words(data, offsets, ALNUM, lower=True)
+                spelled = [words.word(i).decode() for i in range(len(words.hashes))]
+                for r, n in enumerate(words.counts.tolist()):
+                    if not n:
+                        continue
+                    size, first = min(n, WINDOW), int(words.first[r])
+                    part = min(size, SHINGLE)
+                    keys = sequence_hash(words.hashes, np.arange(first, first + n - part + 1), part).view(np.int64).tolist()
+                    item = batch.column("item_id")[low + r].as_py()
+                    for at in range(0, n - size + 1, 4096):
+                        starts = range(at, min(at + 4096, n - size + 1))
+                        listed = [[{"offset": j, "key": keys[k + j]} for j in range(size - part + 1)] for k in starts]
+                        columns = [
+                            pa.array([item] * len(starts), pa.string()),
+                            pa.array([spelled[first + k : first + k + size] for k in starts], pa.list_(pa.string())),
+                            pa.array(listed, pa.list_(pa.struct([("offset", pa.int32()), ("key", pa.int64())]))),
+                        ]
+                        yield pa.RecordBatch.from_arrays(columns, ["item_id", "words", "shingles"])
+
+    return bench.mapInArrow(run, "item_id string, words array<string>, shingles array<struct<offset:int,key:long>>")
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Which values of the BITMAP highest bits occur among the keys."""
+    place = F.shiftrightunsigned("key", 64 - BITMAP)
+    bits = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    rows = keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bits).alias("bits")).collect()
+    out = np.zeros(1 << (BITMAP - 6), np.int64)
+    for r in rows:
+        out[r["word"]] = r["bits"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little")
+
+
+def _shingles_in(words: Words, sizes: list[int], bitmap: np.ndarray):
+    """(key, first word) of the shingles that the bitmap holds."""
+    for s in sizes:
+        h, at = words.windows(s)
+        near = bitmap[(h >> np.uint64(64 - BITMAP)).astype(np.int64)] > 0
+        yield h[near], at[near], s
+
+
+def _counted(docs: DataFrame, sizes: list[int], bitmap: np.ndarray) -> DataFrame:
+    """(key, n): how often shingles in the bitmap occur in the documents."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.zeros(0, np.uint64)]
+            for _, _, data, offsets in chunks(batch.column(0)):
+                found += [h for h, _, _ in _shingles_in(Words(data, offsets, ALNUM, lower=True), sizes, bitmap)]
+            key, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _places(docs: DataFrame, sizes: list[int], bitmap: np.ndarray) -> DataFrame:
+    """(own, at, key, left, around): shingles of the documents in the bitmap, with the words that a window may cover."""
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column("own")
+            for low, _, data, offsets in chunks(batch.column("text")):
+                words = Words(data, offsets, ALNUM, lower=True)
+                for h, at, s in _shingles_in(words, sizes, bitmap):
+                    row = np.searchsorted(words.first, at, "right") - 1
+                    for i in range(0, len(at), 4096):
+                        k, r = at[i : i + 4096], row[i : i + 4096]
+                        begin, end = np.maximum(words.first[r], k - WINDOW + 1), np.minimum(words.first[r + 1], k + s + WINDOW - 1)
+                        around = [[words.word(j).decode() for j in range(b, e)] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
+                        columns = [
+                            own.take(pa.array(low + r)), pa.array((k - words.first[r]).astype(np.int32)), pa.array(h[i : i + 4096].view(np.int64)),
+                            pa.array((k - begin).astype(np.int32)), pa.array(around, pa.list_(pa.string())),
+                        ]
+                        yield pa.RecordBatch.from_arrays(columns, ["own", "at", "key", "left", "around"])
+
+    return docs.mapInArrow(run, "own struct<a:long,b:long>, at int, key long, left int, around array<string>")
+
+
+def _joined(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """``docs`` with ``hits`` and ``items`` by joins alone."""
+    use_checkpoints(docs.sparkSession)
+    windows = _windows(bench).groupBy("words", "shingles").agg(F.collect_set("item_id").alias("item_ids")).checkpoint()
+    windows = windows.withColumn("window", F.xxhash64("words"))
+    each = windows.select("window", "words", F.explode("shingles").alias("s")).select("window", "words", "s.*")
+    sizes = [r["n"] for r in windows.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("n")).distinct().collect()]
+    counts = _counted(docs, sizes, _bitmap(each))
+    # The prefix of a window: its rarest shingle that occurs; a window with one that does not occur has no match.
+    known = each.join(counts, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    prefix = known.groupBy("window", "words").agg(F.min(F.struct("n", "offset", "key")).alias("p")).filter("p.n > 0")
+    prefix = prefix.select("words", "p.key", "p.offset").checkpoint()
+    own = [F.col(c) for c in ("doc_id", "text") if c in docs.columns]
+    key = F.struct(F.xxhash64(*own, F.lit(1)).alias("a"), F.xxhash64(*own, F.lit(2)).alias("b"))
+    places = _places(docs.select(key.alias("own"), F.coalesce("text", F.lit("")).alias("text")), sizes, _bitmap(prefix))
+    size, start = F.size("words"), F.col("left") - F.col("offset")
+    found = places.join(prefix, "key").filter((start >= 0) & (start + size <= F.size("around")))
+    found = found.filter(F.slice("around", F.greatest(start, F.lit(0)) + 1, size) == F.col("words")).select("own", (F.col("at") - F.col("offset")).alias("start"), "words").distinct()
+    found = found.join(windows.select("words", "item_ids"), "words")
+    covered = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + size - 1)))))
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids"))))
+    found = found.groupBy("own").agg(covered.alias("_dc_hits"), items.alias("_dc_items"))
+    joined = docs.withColumn("_dc_own", key).join(found, F.col("_dc_own") == F.col("own"), "left")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return joined.select(*docs.columns, F.coalesce("_dc_hits", none("int")).alias("hits"), F.coalesce("_dc_items", none("string")).alias("items"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of ``docs`` with ``n_words``, ``hits`` (0-based positions of words inside a benchmark window) and
     ``items`` (ids, as strings, of the items with such windows, sorted).
 
-    A null text has no words; an item without words has no window and is never found; repeated rows of an item count
-    as one item and repeated documents are each judged; an empty benchmark marks nothing. Columns of ``docs`` that
-    bear the names of the results are replaced, and other columns pass through.
+    A null text has no words; an item without words has no window and is never found; the windows of an item without
+    an id hit words, but no id is listed for it; repeated rows of an item count as one item and repeated documents are
+    each judged; an empty benchmark marks nothing. Columns of ``docs`` that bear the names of the results are replaced,
+    and other columns pass through.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("n_words", "hits", "items")
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null").distinct()
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES) or 1
-    found = docs.select(
-        "*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items")
-    )
-    for k in range(blocks):
-        rows = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+    if size <= BLOCK_BYTES:
+        rows = bench.collect()
         index = Index([r["item_id"] for r in rows], [r["text"] for r in rows])
         index.keep_rarest(_frequencies(docs, index))
-        found = _scan(found, index, found.columns)
-    return found
+        found = docs.withColumns({"hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
+    else:
+        index = Index([], [])
+        index.keep_rarest({})
+        found = _joined(docs, bench)
+    found = found.select(*docs.columns, F.lit(0).cast("long").alias("n_words"), "hits", "items")
+    return _scan(found, index, found.columns)
+
+
+SQL = r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+word AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM low),
+long AS (
+  SELECT doc_id, pos, word, string_agg(word, ' ') OVER w AS run, count(*) OVER w AS n FROM word
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+item AS (SELECT DISTINCT item_id::VARCHAR AS item_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark WHERE text IS NOT NULL),
+part AS (SELECT item_id, words, unnest(range(greatest(len(words) - 9, 1))) AS k FROM item WHERE len(words) > 0),
+windowed AS (SELECT DISTINCT item_id, array_to_string(list_slice(words, k + 1, k + 10), ' ') AS run, least(len(words), 10) AS size, words[k + 1] AS first FROM part),
+match AS (
+  SELECT doc_id, pos, size, item_id FROM long JOIN windowed USING (run) WHERE size = 10 AND n = 10
+  UNION ALL
+  SELECT l.doc_id, l.pos, w.size, w.item_id FROM long l JOIN windowed w ON w.size < 10 AND l.word = w.first JOIN low ON low.doc_id = l.doc_id
+  WHERE array_to_string(list_slice(low.words, l.pos + 1, l.pos + w.size), ' ') = w.run),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS p FROM match) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM match WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

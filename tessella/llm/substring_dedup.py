@@ -256,6 +256,24 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"{kinds}, n_words long, n_removed long, spans array<struct<start:int,end:int,source:long,place:int>>, kept string")
 
 
+SQL = r"""
+WITH word AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents)),
+long AS (
+  SELECT doc_id, pos, word, string_agg(word, ' ') OVER w AS run, count(*) OVER w AS n FROM word
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+first AS (SELECT run, min(doc_id) AS first FROM long WHERE n = 13 GROUP BY run),
+judged AS (
+  SELECT l.doc_id, l.pos, l.word, max(CASE WHEN f.first < l.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY l.doc_id ORDER BY l.pos ROWS 12 PRECEDING) = 1 AS gone
+  FROM long l LEFT JOIN first f ON l.n = 13 AND l.run = f.run),
+total AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN total USING (doc_id)
+"""
+
+
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     got = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

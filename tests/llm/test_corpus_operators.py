@@ -529,13 +529,13 @@ def leaks_plainly(data, items):
         w = split(t)
         size = min(10, len(w))
         for k in range(len(w) - size + 1 if w else 0):
-            windows.setdefault(tuple(w[k : k + size]), set()).add(str(i))
+            windows.setdefault(tuple(w[k : k + size]), set()).update([str(i)] if i is not None else [])
     sizes = {len(k) for k in windows}
     for d, t, *_ in data:
         w, hit, found = split(t), set(), set()
         for size in sizes:
             for k in range(len(w) - size + 1):
-                if of := windows.get(tuple(w[k : k + size])):
+                if (of := windows.get(tuple(w[k : k + size]))) is not None:
                     hit |= set(range(k, k + size))
                     found |= of
         yield d, len(w), tuple(sorted(hit)), tuple(sorted(found))
@@ -544,7 +544,7 @@ def leaks_plainly(data, items):
 @pytest.mark.parametrize("block", [1 << 24, 200])
 def test_decontamination(spark, clashing, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
-    items = bench_rows()
+    items = [*bench_rows(), (None, rows()[13][1]), (8, "here"), (9, "ALL rights reserved")]
     got = decontaminate.contaminated(clashing, spark.createDataFrame(items, BENCH)).collect()
     plainly([(x["doc_id"], x["n_words"], tuple(x["hits"]), tuple(x["items"])) for x in got], leaks_plainly(rows(), items))
     assert any(x["hits"] for x in got)
