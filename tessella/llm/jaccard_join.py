@@ -5,10 +5,10 @@
    band meet in a bucket. At similarity 0.8 a pair misses all buckets with probability below 4e-8. Each bucket links its
    members to its least one; a connected component of these links holds all buckets of its texts.
 3. A component that fits in a block is one unit of work: each of its texts is sent once, however many buckets it is in.
-   A larger one is compared in whichever way needs fewer comparisons: as a whole, or bucket by bucket, where a pair
-   belongs to the first band that it shares. So texts that merely hang together in a chain are never all compared, and
-   those that are all alike are not compared once a band. A unit beyond the size of a block is dealt to blocks, and each
-   pair of blocks is a task's work.
+   A larger one is compared in whichever way sends fewer rows: as a whole, or bucket by bucket, where a pair belongs to
+   the first band that it shares. So texts that merely hang together in a long chain are never all compared, and those
+   that are all alike are not sent once a band. A unit beyond the size of a block is dealt to blocks, and each pair of
+   blocks is a task's work.
    Inside a unit MinHash values are compared ``STEP`` at a time, and pairs go as soon as the posterior probability
    (uniform prior) that their similarity reaches the threshold is below ``EPSILON``. The rest is verified exactly on the
    5-gram sets. A unit returns a row per document: its number of links and the least member it is connected with. Pairs
@@ -297,17 +297,17 @@ def _bands(sig):
 
 def units(member: DataFrame) -> DataFrame:
     """(unit, band, node, sig, grams, blocks) from (root, node, sig, grams): who is compared with whom, by whole components
-    (band -1) or, where that needs fewer comparisons, by the buckets of a large component."""
+    (band -1) or, where that sends fewer rows, by the buckets of a large component."""
     shingles = F.sum(F.octet_length("grams") / 8)
     size = member.groupBy("root").agg(F.count("*").alias("n"), shingles.alias("s")).select("root", "n", _blocks(F.col("n"), F.col("s")).alias("blocks")).checkpoint()
     whole = member.join(size, "root")
     large = size.filter("blocks > 1")
     if not large.limit(1).count():
         return whole.select(F.col("root").alias("unit"), F.lit(-1).alias("band"), "node", "sig", "grams", "blocks")
-    met = member.join(large.select("root", "n"), "root").select("root", "n", "node", F.octet_length("grams").alias("size"), F.explode(_bands("sig")).alias("b"))
-    buckets = met.groupBy("root", "n", "b").agg(F.count("*").alias("in"), F.sum(F.col("size") / 8).alias("s")).filter("`in` > 1")
-    buckets = buckets.select("root", "n", F.xxhash64("root", "b").alias("unit"), "b", "in", _blocks(F.col("in"), F.col("s")).alias("blocks")).checkpoint()
-    apart = buckets.groupBy("root", "n").agg(F.sum(F.col("in").cast("double") * F.col("in")).alias("pairs")).filter(F.col("pairs") < F.col("n").cast("double") * F.col("n")).select("root").checkpoint()
+    met = member.join(large, "root").select("root", (F.col("n") * F.col("blocks")).alias("sent"), "node", F.octet_length("grams").alias("size"), F.explode(_bands("sig")).alias("b"))
+    buckets = met.groupBy("root", "sent", "b").agg(F.count("*").alias("in"), F.sum(F.col("size") / 8).alias("s")).filter("`in` > 1")
+    buckets = buckets.select("root", "sent", F.xxhash64("root", "b").alias("unit"), "b", "in", _blocks(F.col("in"), F.col("s")).alias("blocks")).checkpoint()
+    apart = buckets.groupBy("root", "sent").agg(F.sum(F.col("in") * F.col("blocks")).alias("rows")).filter("rows < sent").select("root").checkpoint()
     whole = whole.join(apart, "root", "left_anti").select(F.col("root").alias("unit"), F.lit(-1).alias("band"), "node", "sig", "grams", "blocks")
     sent = member.join(apart, "root").withColumn("b", F.explode(_bands("sig")))
     sent = sent.join(buckets.select("root", "b", "unit", "blocks"), ["root", "b"]).select("unit", "b.band", "node", "sig", "grams", "blocks")
