@@ -297,21 +297,27 @@ def _bands(sig):
 
 def units(member: DataFrame) -> DataFrame:
     """(unit, band, node, sig, grams, blocks) from (root, node, sig, grams): who is compared with whom, by whole components
-    (band -1) or, where that sends fewer rows, by the buckets of a large component."""
-    shingles = F.sum(F.octet_length("grams") / 8)
-    size = member.groupBy("root").agg(F.count("*").alias("n"), shingles.alias("s")).select("root", "n", _blocks(F.col("n"), F.col("s")).alias("blocks")).checkpoint()
-    whole = member.join(size, "root")
+    (band -1) or, where that sends fewer rows, by the buckets of a large component.
+
+    Everything is decided on narrow rows; signatures and sets are moved once, when each text has the list of its units.
+    """
+    narrow = member.select("root", "node", F.octet_length("grams").alias("size"), "sig")
+    size = narrow.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.col("size") / 8).alias("s")).select("root", "n", _blocks(F.col("n"), F.col("s")).alias("blocks")).checkpoint()
+    whole = narrow.select("root", "node").join(size, "root")
+    alone = F.array(F.struct(F.col("root").alias("unit"), F.lit(-1).alias("band"), "blocks")).alias("units")
     large = size.filter("blocks > 1")
     if not large.limit(1).count():
-        return whole.select(F.col("root").alias("unit"), F.lit(-1).alias("band"), "node", "sig", "grams", "blocks")
-    met = member.join(large, "root").select("root", (F.col("n") * F.col("blocks")).alias("sent"), "node", F.octet_length("grams").alias("size"), F.explode(_bands("sig")).alias("b"))
-    buckets = met.groupBy("root", "sent", "b").agg(F.count("*").alias("in"), F.sum(F.col("size") / 8).alias("s")).filter("`in` > 1")
-    buckets = buckets.select("root", "sent", F.xxhash64("root", "b").alias("unit"), "b", "in", _blocks(F.col("in"), F.col("s")).alias("blocks")).checkpoint()
-    apart = buckets.groupBy("root", "sent").agg(F.sum(F.col("in") * F.col("blocks")).alias("rows")).filter("rows < sent").select("root").checkpoint()
-    whole = whole.join(apart, "root", "left_anti").select(F.col("root").alias("unit"), F.lit(-1).alias("band"), "node", "sig", "grams", "blocks")
-    sent = member.join(apart, "root").withColumn("b", F.explode(_bands("sig")))
-    sent = sent.join(buckets.select("root", "b", "unit", "blocks"), ["root", "b"]).select("unit", "b.band", "node", "sig", "grams", "blocks")
-    return whole.unionByName(sent)
+        listed = whole.select("node", alone)
+    else:
+        met = narrow.join(large, "root").select("root", (F.col("n") * F.col("blocks")).alias("sent"), "node", "size", F.explode(_bands("sig")).alias("b")).checkpoint()
+        buckets = met.groupBy("root", "sent", "b").agg(F.count("*").alias("in"), F.sum(F.col("size") / 8).alias("s")).filter("`in` > 1")
+        buckets = buckets.select("root", "sent", F.xxhash64("root", "b").alias("unit"), "b", "in", _blocks(F.col("in"), F.col("s")).alias("blocks")).checkpoint()
+        apart = buckets.groupBy("root", "sent").agg(F.sum(F.col("in") * F.col("blocks")).alias("rows")).filter("rows < sent").select("root").checkpoint()
+        sent = met.join(apart, "root", "left_semi").select("node", "root", "b").join(buckets.select("root", "b", "unit", "blocks"), ["root", "b"])
+        sent = sent.groupBy("node").agg(F.collect_list(F.struct("unit", F.col("b.band").alias("band"), "blocks")).alias("units"))
+        listed = whole.join(apart, "root", "left_anti").select("node", alone).unionByName(sent)
+    moved = member.select("node", "sig", "grams").join(listed, "node").select("node", "sig", "grams", F.explode("units").alias("u"))
+    return moved.select("u.unit", "u.band", "node", "sig", "grams", "u.blocks")
 
 
 def classified(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
