@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches, table
+from tessella.llm.common import releasing, small_batches, table
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens that a worker keeps, in two generations; longer ones than KEEP_CHARS are never kept.
-KEEP, KEEP_CHARS = 400_000, 64
+KEEP, KEEP_CHARS = 200_000, 64
 #: Characters of text that are taken together, unless one text alone is longer.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 #: Words of more bytes are merged with a heap; below, scanning a short list is faster.
 SHORT = 48
 NONE = np.int64(1 << 40)
@@ -82,19 +82,19 @@ class Codec:
         size = max(self.pieces) + 1
         #: Per token: the rank of the merge that makes it (-1 for a byte) and its two parts.
         self.rank, self.left, self.right = np.full(size, -1), np.arange(size), np.arange(size)
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        merge: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             a, b, made = vocab[a], vocab[b], vocab[a + b]
-            self.merge[a, b] = rank, made
+            merge[a, b] = rank, made
             if self.rank[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = rank, a, b
-        self.rank_of = {a << 32 | b: r for (a, b), (r, _) in self.merge.items()}
-        self.made = {r: m for r, m in self.merge.values()}
-        keys = np.array([a * size + b for a, b in self.merge], np.int64)
+        self.rank_of = {a << 32 | b: r for (a, b), (r, _) in merge.items()}
+        self.made = {r: m for r, m in merge.values()}
+        keys = np.array([a * size + b for a, b in merge], np.int64)
         order = np.argsort(keys)
         self.size, self.pair_keys = size, keys[order]
-        self.pair_ranks = np.array([r for r, _ in self.merge.values()], np.int64)[order]
+        self.pair_ranks = np.array([r for r, _ in merge.values()], np.int64)[order]
         #: Ids of pre-tokens, joined by commas, and the decoded text of those few that do not come back as they were.
         self.known: dict[str, str] = {}
         self.before: dict[str, str] = {}
@@ -167,19 +167,20 @@ class Codec:
 
         token = [self.byte_ids[b] for b in word]
         after, before = [*range(1, len(token)), -1], [*range(-1, len(token) - 1)]
-        heap = [(m[0], k, token[k], token[k + 1], m[1]) for k in range(len(token) - 1) if (m := self.merge.get((token[k], token[k + 1])))]
+        ranked = lambda a, b: self.rank_of.get(a << 32 | b, -1)
+        heap = [(m, k, token[k], token[k + 1]) for k in range(len(token) - 1) if (m := ranked(token[k], token[k + 1])) >= 0]
         heapq.heapify(heap)
         while heap:
-            _, k, a, b, made = heapq.heappop(heap)
+            rank, k, a, b = heapq.heappop(heap)
             j = after[k]
             if token[k] != a or j < 0 or token[j] != b:
                 continue
-            token[k], token[j], after[k] = made, -1, after[j]
+            token[k], token[j], after[k] = self.made[rank], -1, after[j]
             if after[k] >= 0:
                 before[after[k]] = k
             for p, q in ((before[k], k), (k, after[k])):
-                if p >= 0 and q >= 0 and (m := self.merge.get((token[p], token[q]))):
-                    heapq.heappush(heap, (m[0], p, token[p], token[q], m[1]))
+                if p >= 0 and q >= 0 and (m := ranked(token[p], token[q])) >= 0:
+                    heapq.heappush(heap, (m, p, token[p], token[q]))
         return [t for t in token if t >= 0]
 
     def learn(self, words: list[str]) -> None:
@@ -299,7 +300,7 @@ def encoded(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataF
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", "ids_sha256", "decoded", *["ids"] * ids])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, n_tokens long, ids_sha256 string, decoded string" + ", ids array<int>" * ids)
+    return docs.mapInArrow(releasing(run), f"{kinds}, n_tokens long, ids_sha256 string, decoded string" + ", ids array<int>" * ids)
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:

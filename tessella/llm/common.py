@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +25,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; a private one only where none is named."""
+    """Use the folder that the cluster names; only a local session gets a private one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-checkpoints-"))
 
 
@@ -34,3 +40,22 @@ def let(value, body):
     Catalyst may inline a projected expression into every use of it; a lambda variable cannot be inlined.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, after which the worker gives memory that it has freed back to the system.
+
+    Workers outlive their tasks; without this each keeps the most that any task has used.
+    """
+
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return inner

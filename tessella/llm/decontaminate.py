@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches, table, use_checkpoints
+from tessella.llm.common import releasing, small_batches, table, use_checkpoints
 from tessella.llm.textkernel import ALNUM, Words, chunks, raw, sequence_hash
 
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 3, 16 << 20
@@ -120,7 +120,7 @@ def _frequencies(docs: DataFrame, index: Index) -> dict[int, int]:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(index.keys[seen].view(np.int64)), pa.array(total[seen])], ["key", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(releasing(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
     return {r["key"]: r["n"] for r in rows}
 
 
@@ -152,7 +152,7 @@ def _scan(docs: DataFrame, index: Index, names: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([done[c] if c in done else batch.column(c) for c in names], names)
 
     schema = docs.schema
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(releasing(scan), schema)
 
 
 def _windows(bench: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def _windows(bench: DataFrame) -> DataFrame:
                         ]
                         yield pa.RecordBatch.from_arrays(columns, ["item_id", "words", "shingles"])
 
-    return bench.mapInArrow(run, "item_id string, words array<string>, shingles array<struct<offset:int,key:long>>")
+    return bench.mapInArrow(releasing(run), "item_id string, words array<string>, shingles array<struct<offset:int,key:long>>")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -213,7 +213,7 @@ def _counted(docs: DataFrame, sizes: list[int], bitmap: np.ndarray) -> DataFrame
             key, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(releasing(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _places(docs: DataFrame, sizes: list[int], bitmap: np.ndarray) -> DataFrame:
@@ -236,7 +236,7 @@ def _places(docs: DataFrame, sizes: list[int], bitmap: np.ndarray) -> DataFrame:
                         ]
                         yield pa.RecordBatch.from_arrays(columns, ["own", "at", "key", "left", "around"])
 
-    return docs.mapInArrow(run, "own struct<a:long,b:long>, at int, key long, left int, around array<string>")
+    return docs.mapInArrow(releasing(run), "own struct<a:long,b:long>, at int, key long, left int, around array<string>")
 
 
 def _joined(docs: DataFrame, bench: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches, table
+from tessella.llm.common import releasing, small_batches, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object xmp".split())
@@ -303,7 +303,7 @@ def extracted(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*names, "text", "n_chars"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
-    return pages.mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return pages.mapInArrow(releasing(run), f"{kinds}, text string, n_chars long")
 
 
 def op5_html_text(spark, sf_dir: str) -> DataFrame:

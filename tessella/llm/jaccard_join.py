@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches, table, use_checkpoints
+from tessella.llm.common import releasing, small_batches, table, use_checkpoints
 from tessella.llm.components import components
 from tessella.llm.textkernel import NOT_BLANK, Words, chunks, mixed, sequence_hash
 
@@ -82,7 +82,7 @@ def _described(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n_words", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n_words long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, k1 long, k2 long, n_words long, sig binary")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def keyed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(k, pa.int64()) for k in keys)], [*names, "_k1", "_k2"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, _k1 long, _k2 long")
+    return docs.mapInArrow(releasing(run), f"{kinds}, _k1 long, _k2 long")
 
 
 def namesakes(keys: DataFrame) -> DataFrame | None:
@@ -134,7 +134,7 @@ def _once(texts: DataFrame) -> DataFrame:
             seen = {key for key in seen if key[0] is None}
             yield batch.take(pa.array(keep, pa.int64()))
 
-    return texts.select(*names, "text").mapInArrow(run, "doc_id long, k1 long, k2 long, text string")
+    return texts.select(*names, "text").mapInArrow(releasing(run), "doc_id long, k1 long, k2 long, text string")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def _sets(texts: DataFrame) -> DataFrame:
                 out += [np.unique(h[first[r] : first[r + 1]]).tobytes() for r in range(len(first) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "grams"])
 
-    return texts.mapInArrow(run, "node long, grams binary")
+    return texts.mapInArrow(releasing(run), "node long, grams binary")
 
 
 def least_matches(similarity: float) -> list[tuple[int, int]]:
@@ -271,7 +271,7 @@ def _verified(units: DataFrame, similarity: float) -> DataFrame:
             got = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(node[got]), pa.array(least[got]), pa.array(links[got].astype(np.int64))], ["node", "peer", "n_links"])
 
-    return units.mapInArrow(run, kinds)
+    return units.mapInArrow(releasing(run), kinds)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

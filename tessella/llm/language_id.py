@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches, table
+from tessella.llm.common import releasing, small_batches, table
 from tessella.llm.textkernel import chunks
 
 #: Most grams of a language, share of the best language's rate that a gram must reach.
@@ -105,7 +105,7 @@ def fit(labelled: DataFrame) -> Filters:
             if len(g):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(g)), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    rows = labelled.select("text", "lang").filter("text is not null and lang is not null").mapInArrow(count, "lang string, gram long, n long")
+    rows = labelled.select("text", "lang").filter("text is not null and lang is not null").mapInArrow(releasing(count), "lang string, gram long, n long")
     counts = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     totals = counts.groupBy("lang").agg(F.sum("n").cast("double").alias("total"))
     languages = sorted(r["lang"] for r in totals.select("lang").collect())
@@ -128,7 +128,7 @@ def fit(labelled: DataFrame) -> Filters:
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([gram[names == x].tobytes() for x in own], pa.binary())], ["lang", "grams"])
 
     number = {x: k for k, x in enumerate(languages)}
-    got = top.select("lang", "gram").mapInArrow(packed, "lang string, grams binary").collect()
+    got = top.select("lang", "gram").mapInArrow(releasing(packed), "lang string, grams binary").collect()
     members = [(np.frombuffer(r["grams"], np.uint32), number[r["lang"]]) for r in got]
     counts.unpersist()
     return Filters(languages, members)
@@ -167,7 +167,7 @@ def identified(docs: DataFrame, filters: Filters) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score", "coverage"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, coverage double")
+    return docs.mapInArrow(releasing(run), f"{kinds}, lang_pred string, score double, coverage double")
 
 
 def held_out():

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches, table, use_checkpoints
+from tessella.llm.common import releasing, small_batches, table, use_checkpoints
 from tessella.llm.textkernel import NOT_BLANK, Words, chunks, mixed, sequence_hash
 
 WINDOW, ANCHOR = 13, 5
@@ -62,7 +62,7 @@ def _keys(docs: DataFrame) -> DataFrame:
             join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), join(key), join(n)], ["doc_id", "key", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n long")
+    return docs.mapInArrow(releasing(run), "doc_id long, key long, n long")
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 [pa.array(np.where(known, key, anchor)), pa.array(key), pa.array(anchor, mask=~known)], ["anchor", "key", "known"]
             )
 
-    return docs.select("text").mapInArrow(run, "anchor long, key long, known long")
+    return docs.select("text").mapInArrow(releasing(run), "anchor long, key long, known long")
 
 
 #: The words beside a window, by seven bits of their hash: what stands for none, and for several.
@@ -157,7 +157,7 @@ def _edges(texts: DataFrame) -> DataFrame:
             columns = [pa.array(np.where(known, own, h)), *map(pa.array, (aux, ids, own)), pa.array(source, mask=~known), pa.array(place.astype(np.int32), mask=~known)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return texts.select("doc_id", "text", "key", "anchors").mapInArrow(run, kinds)
+    return texts.select("doc_id", "text", "key", "anchors").mapInArrow(releasing(run), kinds)
 
 
 def _spans(repeat: list[dict] | None) -> list[tuple[int, int, int, int]]:
@@ -253,7 +253,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_words", "n_removed", "spans", "kept"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{kinds}, n_words long, n_removed long, spans array<struct<start:int,end:int,source:long,place:int>>, kept string")
+    return joined.mapInArrow(releasing(run), f"{kinds}, n_words long, n_removed long, spans array<struct<start:int,end:int,source:long,place:int>>, kept string")
 
 
 SQL = r"""

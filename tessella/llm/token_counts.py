@@ -12,7 +12,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import small_batches, table
+from tessella.llm.common import releasing, small_batches, table
 
 #: Pre-tokens whose counts a worker keeps; longer ones than KEEP_CHARS are never kept.
 KEEP, KEEP_CHARS = 300_000, 64
@@ -114,7 +114,7 @@ def counted(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), got], [*names, "n_tokens"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, n_tokens long")
+    return docs.mapInArrow(releasing(run), f"{kinds}, n_tokens long")
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
