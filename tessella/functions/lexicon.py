@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import functools
+import html.entities
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.binding import let
+
 #: Room label -> room type. The order decides between equally long labels.
 ROOM_TYPES = {
     "MH": "bedroom", "MAKUUHUONE": "bedroom", "MAKUUH": "bedroom",
@@ -30,10 +34,6 @@ ROOM_TYPES = {
 UNKNOWN, OTHER = "unknown", "other"
 #: Shortest label, and shortest text, that may differ by one letter.
 FUZZY_LENGTH = 5
-#: Accented letters and what is left of them without their accents.
-ACCENTED, PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŠŽ", "AAAAAACEEEEIIIINOOOOOUUUUYSZ"
-#: Named character references that occur in labels.
-REFERENCES = {"&Auml;": "Ä", "&auml;": "Ä", "&Ouml;": "Ö", "&ouml;": "Ö", "&Aring;": "Å", "&aring;": "Å", "&amp;": "&"}
 #: Labels, longest first.
 BY_LENGTH = sorted(ROOM_TYPES, key=len, reverse=True)
 
@@ -43,25 +43,80 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, ROOM_TYPES[k], i) for i, k in enumerate(BY_LENGTH)], "label string, room_type string, ord int")
 
 
-@functools.cache
-def _pairs() -> tuple[str, ...]:
-    return tuple(x for pair in ROOM_TYPES.items() for x in pair)
+#: Stands between the values of a list that is handed over as one literal.
+BETWEEN = "\x1f"
+
+
+def _texts(values) -> Column:
+    """A literal array; one expression, which the optimizer folds, instead of one call for each value."""
+    return F.split(F.lit(BETWEEN.join(values)), BETWEEN)
+
+
+def mapped(of: dict[str, str]) -> Column:
+    """A literal map, handed over like ``_texts``."""
+    return F.map_from_arrays(_texts(of), _texts(of.values()))
 
 
 def type_of(label: Column) -> Column:
     """Room type of an exact lexicon label, null for any other."""
-    return F.element_at(F.create_map(*map(F.lit, _pairs())), label)
+    return F.element_at(mapped(ROOM_TYPES), label)
 
 
 def known(label: Column) -> Column:
-    return label.isin(*ROOM_TYPES)
+    return F.array_contains(_texts(ROOM_TYPES), label)
+
+
+@functools.cache
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition leaves of other letters: (characters, their one letter, those that leave more)."""
+    single, longer = {}, {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x30000)]):
+        left = "".join(x for x in unicodedata.normalize("NFKD", c) if x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+")
+        if left:
+            (single if len(left) == 1 else longer)[c] = left
+    return "".join(single), "".join(single.values()), longer
+
+
+def _ranges(letters) -> str:
+    """The inside of a character class of these letters, as runs of code points."""
+    runs: list[list[int]] = []
+    for k in sorted(map(ord, letters)):
+        if runs and runs[-1][1] == k - 1:
+            runs[-1][1] = k
+        else:
+            runs.append([k, k])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
+
+
+def unescaped(text: Column) -> Column:
+    """``text`` with its character references (numeric, or named with a semicolon) replaced."""
+    named = mapped({f"&{k}": v for k, v in html.entities.html5.items() if k.endswith(";")})
+
+    def letter(ref: Column) -> Column:
+        body = F.regexp_replace(ref, "^&#[xX]?|;$", "")
+        number = F.when(ref.rlike("^&#[xX]"), F.conv(body, 16, 10)).when(ref.startswith("&#"), body).try_cast("int")
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).when(ref.startswith("&#"), "\ufffd").otherwise(F.element_at(named, ref))
+
+    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"), F.lit(0)))
+    # The ampersand comes last, so that what it gives is not read again.
+    late = lambda r: F.struct(letter(r).eqNullSafe(F.lit("&")).alias("last"), r.alias("ref"))
+    replace = lambda t, r: F.replace(t, r["ref"], F.coalesce(letter(r["ref"]), r["ref"]))
+    return F.when(text.contains("&"), F.aggregate(F.array_sort(F.transform(refs, late)), text, replace)).otherwise(text)
 
 
 def normalise_label(text: Column) -> Column:
-    """Upper case without accents, references, blanks or punctuation other than ``+``."""
-    for name, letter in REFERENCES.items():
-        text = F.replace(text, F.lit(name), F.lit(letter))
-    return F.regexp_replace(F.translate(F.upper(text), ACCENTED, PLAIN), "[^A-Z0-9+]", "")
+    """Upper case without accents, references, blanks or punctuation other than ``+``; letters in their plain form."""
+    single, plain, longer = _plain_letters()
+    wide = _ranges(longer)
+    apart = lambda c: F.coalesce(F.element_at(mapped(longer), c), c)
+
+    def spelled(upper: Column) -> Column:
+        spread = F.array_join(F.transform(F.split(upper, ""), apart), "")
+        letters = F.translate(F.when(upper.rlike(f"[{wide}]"), spread).otherwise(upper), single, plain)
+        return F.when(upper.rlike(r"[^\x00-\x7F]"), letters).otherwise(upper)
+
+    return F.regexp_replace(let(F.upper(unescaped(text)), spelled), "[^A-Z0-9+]", "")
 
 
 def without_index(label: Column) -> Column:
@@ -71,10 +126,14 @@ def without_index(label: Column) -> Column:
 
 def resolve(label: Column) -> Column:
     """The lexicon label that a normalised label stands for: itself, without its index, or one letter away; else null."""
-    long = F.array(*[F.lit(x) for x in BY_LENGTH if len(x) >= FUZZY_LENGTH])
-    near = F.get(F.filter(long, lambda x: F.levenshtein(x, label, 1) >= 0), F.lit(0))
-    base = without_index(label)
-    return F.when(known(label), label).when(known(base), base).when(F.length(label) >= FUZZY_LENGTH, near)
+    long = _texts([x for x in BY_LENGTH if len(x) >= FUZZY_LENGTH])
+
+    def found(own: Column) -> Column:
+        near = F.get(F.filter(long, lambda x: F.levenshtein(x, own, 1) >= 0), F.lit(0))
+        base = without_index(own)
+        return F.when(known(own), own).when(known(base), base).when(F.length(own) >= FUZZY_LENGTH, near)
+
+    return let(label, found)
 
 
 def parts(label: Column) -> Column:
@@ -91,7 +150,7 @@ def primary_type(label: Column, resolved: Column) -> Column:
 
 def storable_type(room_type: Column) -> Column:
     """Types outside the enumeration (``unknown`` is) are stored as ``other``."""
-    return F.when(room_type.isin(*set(ROOM_TYPES.values())), room_type).otherwise(OTHER)
+    return F.when(F.array_contains(_texts(sorted(set(ROOM_TYPES.values()))), room_type), room_type).otherwise(OTHER)
 
 
 def nearest_tenth(numerator: Column, denominator: Column) -> Column:
@@ -108,14 +167,18 @@ def nearest_tenth(numerator: Column, denominator: Column) -> Column:
 
 def label_score(label: Column) -> Column:
     """How much a normalised text looks like a room label, in tenths."""
-    named = F.array(*[F.lit(x) for x in BY_LENGTH if len(x) >= 2])
-    inside = F.get(F.filter(named, lambda x: label.contains(x)), F.lit(0))
-    of = parts(label)
-    return (
-        F.when(label == "", 0)
-        .when(known(label) | F.coalesce(known(without_index(label)), F.lit(False)), 10)
-        .when((F.size(of) > 1) & F.forall(of, known), 9)
-        .when((F.size(of) > 1) & F.exists(of, known), 7)
-        .when(inside.isNotNull(), nearest_tenth(F.length(inside), F.length(label)))
-        .otherwise(0)
-    )
+    named = _texts([x for x in BY_LENGTH if len(x) >= 2])
+
+    def scored(own: Column) -> Column:
+        inside = F.get(F.filter(named, lambda x: own.contains(x)), F.lit(0))
+        of = parts(own)
+        return (
+            F.when(own == "", 0)
+            .when(known(own) | F.coalesce(known(without_index(own)), F.lit(False)), 10)
+            .when((F.size(of) > 1) & F.forall(of, known), 9)
+            .when((F.size(of) > 1) & F.exists(of, known), 7)
+            .when(inside.isNotNull(), nearest_tenth(F.length(inside), F.length(own)))
+            .otherwise(0)
+        )
+
+    return let(label, scored)

@@ -19,8 +19,8 @@ TOKEN = "array<struct<page_order:bigint,token_index:int,text:string,confidence:d
 
 def scored(tokens: DataFrame, rule: str = "tall_only") -> DataFrame:
     """Tokens with their vocabulary ``score`` in tenths and whether their angle suits their box."""
-    t = parsed(tokens).withColumn("norm", normalise_label(F.col("text")))
-    score = F.greatest(label_score(F.col("norm")), pattern_score(F.col("kind"), F.col("fmt"), F.col("plausible")))
+    t = parsed(tokens, more=lambda text: {"label_score": label_score(normalise_label(text))})
+    score = F.greatest(F.col("label_score"), pattern_score(F.col("kind"), F.col("fmt"), F.col("plausible")))
     return t.withColumns({"score": score, "upright": g.plausible_angle(g.box(), F.col("angle"), rule)}).select(*tokens.columns, "score", "upright")
 
 

@@ -34,21 +34,41 @@ def supported(area: Column, values: Column, tolerance: float = TOLERANCE) -> Col
     return F.exists(values, lambda v: F.abs(area - v) <= tolerance * F.greatest(F.abs(v), F.lit(1e-6)))
 
 
-def checked(rooms: DataFrame, tokens: DataFrame, approach: str = "rules") -> DataFrame:
-    """``rooms`` with ``issues`` (kind, hard) and ``grounded``.
+def checked(rooms: DataFrame, tokens: DataFrame, approach: str = "rules", drop: bool = False) -> DataFrame:
+    """``rooms`` with ``issues`` (kind, hard, detail) and ``grounded``.
 
-    A room with a hard issue is ungrounded but stays. Left-out kinds are not reported, yet still unground a room.
+    A room with a hard issue is ungrounded; it stays unless ``drop``. Left-out kinds are not reported, yet still unground
+    a room.
     """
-    hard, left_out = POLICY[approach]
     page = rooms.join(evidence(tokens), "page_id", "left")
+    page = _judged(page, approach).select(*rooms.columns, "issues", "grounded")
+    return page.filter("grounded") if drop else page
+
+
+def checked_as(rooms: DataFrame, tokens: DataFrame, approaches: list[str]) -> DataFrame:
+    """``checked`` under several approaches at once, told apart by ``source``; the evidence is gathered once."""
+    page = rooms.join(evidence(tokens), "page_id", "left")
+    for a in approaches:
+        page = _judged(page, a).withColumn(f"_as_{a}", F.struct(F.lit(a).alias("source"), "issues", "grounded")).drop("issues", "grounded")
+    return page.select(*rooms.columns, F.explode(F.array(*[F.col(f"`_as_{a}`") for a in approaches])).alias("_as")).select(*rooms.columns, "_as.*")
+
+
+def _judged(page: DataFrame, approach: str) -> DataFrame:
+    hard, left_out = POLICY[approach]
     ids, area = F.coalesce("source_token_ids", F.array().cast("array<int>")), F.col("area_m2")
-    issue = lambda kind, h: F.struct(F.lit(kind).alias("kind"), F.lit(h).alias("hard"))
+    issue = lambda kind, h, detail: F.struct(F.lit(kind).alias("kind"), F.lit(h).alias("hard"), detail.alias("detail"))
     none = F.array().cast("array<int>")
-    cited = F.when(F.lit(not hard), None).when(F.size(ids) == 0, issue("missing_token_ids", True)).when(F.size(F.array_except(ids, F.coalesce("ids", none))) > 0, issue("unknown_token_id", True))
+    strange = F.array_except(ids, F.coalesce("ids", none))
+    cited = (
+        F.when(F.lit(not hard), None).when(F.size(ids) == 0, issue("missing_token_ids", True, F.lit("no source tokens are cited")))
+        .when(F.size(strange) > 0, issue("unknown_token_id", True, F.concat(F.lit("no token on the page has the id "), F.array_join(F.array_sort(strange), ", "))))
+    )
+    claim = F.concat(F.lit("no readable token holds "), area.cast("string"), F.lit(" m2"))
     values = lambda c: F.coalesce(c, F.array().cast("array<double>"))
-    valued = F.when(area.isNull() | supported(area, values("parsed_areas")), None).when(supported(area, values("numbers")), issue("area_from_unparsed_token", False)).otherwise(issue("ungrounded_area", hard))
-    page = page.withColumn("found", F.array_compact(F.array(cited, valued)))
-    return page.select(*rooms.columns, F.filter("found", lambda i: ~i["kind"].isin(*left_out) if left_out else F.lit(True)).alias("issues"), (~F.exists("found", lambda i: i["hard"])).alias("grounded"))
+    valued = F.when(area.isNull() | supported(area, values("parsed_areas")), None).when(supported(area, values("numbers")), issue("area_from_unparsed_token", False, F.lit("the area stands in a token that cannot be parsed"))).otherwise(issue("ungrounded_area", hard, claim))
+    found = F.array_compact(F.array(cited, valued))
+    kept = lambda i: ~i["kind"].isin(*left_out) if left_out else F.lit(True)
+    return page.withColumn("_found", found).withColumns({"issues": F.filter("_found", kept), "grounded": ~F.exists("_found", lambda i: i["hard"])}).drop("_found")
 
 
 def issue_counts(rooms: DataFrame) -> DataFrame:

@@ -10,18 +10,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry as g
+from tessella.functions.binding import kept
 from tessella.functions.lexicon import normalise_label, primary_type, resolve, storable_type
 from tessella.functions.parse import WEAK, apartment_code, parsed
 
 
+def _labels(text):
+    """What pairing needs of a text beside its reading."""
+    norm = normalise_label(text)
+    return {"norm": norm, "resolved": resolve(norm), "is_code": apartment_code(text)}
+
 
 def read_tokens(tokens: DataFrame) -> DataFrame:
-    """Tokens with their parse, ``resolved`` label, ``is_code``, ``weak`` and the page-wide ``corroborated`` flag; persisted."""
-    t = parsed(tokens).withColumn("norm", normalise_label(F.col("text")))
-    t = t.withColumns({"resolved": resolve(F.col("norm")), "is_code": apartment_code(F.col("text")), "weak": F.col("fmt").isin(*WEAK)})
-    # Several branches read the tokens of a page; parsing them is the costly part and is done once.
+    """Tokens with their parse, ``resolved`` label, ``is_code``, ``weak`` and the page-wide ``corroborated`` flag.
+
+    Several branches read the tokens of a page, so they are computed once; tokens that are read already come back as they
+    are.
+    """
+    if {"resolved", "corroborated"} <= set(tokens.columns):
+        return tokens
+    t = parsed(tokens, more=_labels).withColumn("weak", F.col("fmt").isin(*WEAK))
     strong = (F.col("kind") == "area") & F.col("plausible") & ~F.col("weak")
-    return t.withColumn("corroborated", F.max(strong).over(Window.partitionBy("page_id"))).persist()
+    return kept(t.withColumn("corroborated", F.max(strong).over(Window.partitionBy("page_id"))))
 
 
 def suppressed(read: DataFrame) -> DataFrame:
@@ -66,6 +76,14 @@ def pairs(read: DataFrame) -> DataFrame:
     return own.unionByName(won)
 
 
+def typed(rooms: DataFrame) -> DataFrame:
+    """``rooms`` with the ``room_type`` to store for ``label_raw``; each distinct label is resolved once."""
+    once = rooms.select(F.col("label_raw").alias("_raw")).distinct().withColumn("_norm", normalise_label(F.col("_raw")))
+    once = once.withColumn("_resolved", resolve(F.col("_norm")))
+    once = once.select("_raw", storable_type(primary_type(F.col("_norm"), F.col("_resolved"))).alias("room_type"))
+    return rooms.drop("room_type").join(once, F.col("label_raw").eqNullSafe(F.col("_raw")), "left").drop("_raw")
+
+
 def rules_rooms(tokens: DataFrame) -> DataFrame:
     """Rooms by rule alone: a room per pair, then known labels without an area.
 
@@ -76,11 +94,10 @@ def rules_rooms(tokens: DataFrame) -> DataFrame:
     rest = read.filter("resolved is not null").join(found.select("page_id", F.col("label_id").alias("token_index")), ["page_id", "token_index"], "left_anti")
     paired = found.select("page_id", "label_id", F.col("label_text").alias("label_raw"), "area_m2", F.array_sort(F.array_distinct(F.array("label_id", "area_id"))).alias("source_token_ids"), "confidence")
     alone = rest.select("page_id", F.col("token_index").alias("label_id"), F.col("text").alias("label_raw"), F.lit(None).cast("double").alias("area_m2"), F.array("token_index").alias("source_token_ids"), "confidence")
-    norm = normalise_label(F.col("label_raw"))
-    rooms = paired.unionByName(alone).withColumn("norm", norm)
+    rooms = typed(paired.unionByName(alone))
     none = F.lit(None).cast("double")
     return rooms.select(
-        "page_id", "label_id", "label_raw", storable_type(primary_type(F.col("norm"), resolve(F.col("norm")))).alias("room_type"), "area_m2",
+        "page_id", "label_id", "label_raw", "room_type", "area_m2",
         none.alias("width_m"), none.alias("length_m"), "source_token_ids", F.round("confidence", 4).alias("confidence"),
     )
 

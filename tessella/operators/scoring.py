@@ -37,14 +37,13 @@ def plans(rooms: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rooms.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "label", "area"))).alias(name))
 
 
-def scored(predicted: DataFrame, known: DataFrame, tolerances: DataFrame) -> DataFrame:
+def scored(predicted: DataFrame, known: DataFrame, tolerances: list[float]) -> DataFrame:
     """A row per plan, approach and tolerance: correct, misattributed, wrong_value, hallucinated, missed, known, reported.
 
-    ``predicted`` has plan, approach, ord, label, area; ``known`` plan, ord, label, area; ``tolerances`` (a handful of
-    literal rows) tolerance.
+    ``predicted`` has plan, approach, ord, label, area; ``known`` plan, ord, label, area.
     """
     p, k = plans(predicted, ["plan", "approach"], "p"), plans(known, ["plan"], "k")
-    both = p.join(k, "plan").withColumn("tolerance", F.explode(F.array(*[F.lit(r[0]) for r in tolerances.collect()])))
+    both = p.join(k, "plan").withColumn("tolerance", F.explode(F.array(*[F.lit(float(t)) for t in tolerances])))
     fits = lambda a, b: (a["label"] == b["label"]) & close(a["area"], b["area"], F.col("tolerance"))
     both = both.withColumn("m", greedy(F.col("p"), F.col("k"), fits))
     elsewhere = lambda x: F.exists("k", lambda o: (o["label"] != x["label"]) & close(x["area"], o["area"], F.col("tolerance")))

@@ -12,6 +12,8 @@ from tessella.functions import lexicon as lx
 from tessella.functions import parse as p
 from tessella.operators import costs, dedup, grounding, pairing, reports, scoring
 from tessella.plans import sqlparts as s
+from tessella.sinks.tables import EXPORT
+from tessella.sources import files
 from tessella.sources.token_view import token_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,16 +96,19 @@ def q_dimension_flags(spark, d):
 @query(
     s.parsed_sql(
         ", assoc AS (SELECT l.text AS label_text, a.text AS area_text, a.fmt || '+assoc' AS fmt, a.area_m2, l.norm FROM parsed l, parsed a "
-        "WHERE l.fmt = 'label_only' AND a.kind = 'area') SELECT label_text, area_text, a.fmt, CAST(round(a.area_m2 * 1000) AS BIGINT) AS area_mm, "
+        "WHERE l.fmt = 'label_only' AND a.kind = 'area' AND EXISTS (SELECT 1 FROM tokens x JOIN tokens y ON x.page_id = y.page_id WHERE x.text = l.text AND y.text = a.text)) SELECT label_text, area_text, a.fmt, CAST(round(a.area_m2 * 1000) AS BIGINT) AS area_mm, "
         "nullif(r.ptype, 'unknown') AS room_type FROM assoc a JOIN p_res r ON r.norm = a.norm"
-    ).replace("plausible, true) AS", "plausible, true) AS")
+    )
 )
 def q_label_and_area(spark, d):
     """Readings of a label beside an area, over the distinct tokens of both kinds (two short vocabularies)."""
     t = p.parsed(token_view(spark, d).select("text").distinct())
-    labels = t.filter("fmt = 'label_only'").select(F.col("text").alias("label_text"), F.nullif(F.col("room_type"), F.lit("unknown")).alias("room_type"), F.lit(1).alias("k"))
-    areas = t.filter("kind = 'area'").select(F.col("text").alias("area_text"), F.concat("fmt", F.lit("+assoc")).alias("fmt"), F.round(F.col("area_m2") * 1000).cast("long").alias("area_mm"), F.lit(1).alias("k"))
-    return labels.join(areas, "k").drop("k")
+    labels, areas = t.filter("fmt = 'label_only'").select("text", "room_type"), t.filter("kind = 'area'")
+    # The pairs of a page stand beside each other; here every label meets every area text, through the tokens of pages.
+    pages = token_view(spark, d).select("page_id", "text").distinct()
+    label = pages.join(labels, "text").select("page_id", F.col("text").alias("label_raw"), "room_type")
+    found = p.beside(label, pages.join(areas, "text").withColumnRenamed("text", "area_text"))
+    return found.select(F.col("label").alias("label_text"), "area_text", "fmt", F.round(F.col("area_m2") * 1000).cast("long").alias("area_mm"), "room_type").distinct()
 
 
 WORDS_SQL = "words AS (SELECT DISTINCT text AS word FROM tokens UNION SELECT DISTINCT unnest(string_split_regex(text, '\\s+')) AS word FROM documents)"
@@ -163,8 +168,14 @@ def q_label_score(spark, d):
 )
 def q_label_key(spark, d):
     t = p.parsed(token_view(spark, d).select("text").distinct())
-    norm = lx.normalise_label(F.coalesce("label", "text"))
-    return t.select("text", F.coalesce(lx.resolve(norm), norm).alias("label_key"))
+    return t.select("text", p.label_key(F.col("label"), F.col("text")).alias("label_key"))
+
+
+@query(s.parsed_sql("SELECT text, reason, array_to_string(warnings, ' | ') AS warnings FROM parsed"))
+def q_parse_reasons(spark, d):
+    """Why each token is read as it is, and what to doubt."""
+    t = p.parsed(token_view(spark, d).select("text").distinct())
+    return t.select("text", "reason", F.array_join("warnings", " | ").alias("warnings"))
 
 
 # -- pairing ------------------------------------------------------------------------------------------------
@@ -213,13 +224,14 @@ def q_label_suggestions(spark, d):
     return pairing.suggestions(read(spark, d))
 
 
-@query(s.tokens_sql("SELECT page_id, count(*) AS lines, sum(length(text)) AS letters FROM tokens GROUP BY page_id"))
+@query(
+    s.tokens_sql(
+        "SELECT page_id, string_agg(printf('  id=%d \"%s\" bbox=[%d,%d,%d,%d] conf=%.2f', token_index, text, x1, y1, x2, y2, confidence), chr(10) ORDER BY token_index) AS token_list FROM tokens GROUP BY page_id"
+    )
+)
 def q_prompt_lines(spark, d):
-    """Rendered token lists: their lines and the letters of the token texts in them."""
-    t = pairing.prompt_lines(token_view(spark, d))
-    lines = F.split("token_list", "\n")
-    quoted = F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.length(F.regexp_extract(x, r'^  id=\d+ "(.*)" bbox=\[', 1)))
-    return t.select("page_id", F.size(lines).cast("long").alias("lines"), quoted.alias("letters"))
+    """The rendered token list of each page."""
+    return pairing.prompt_lines(token_view(spark, d))
 
 
 # -- boxes --------------------------------------------------------------------------------------------------
@@ -287,11 +299,34 @@ def q_shoelace(spark, d):
     return table(spark, d, "part").select(k.alias("id"), g.shoelace(g.parse_points(text)).cast("long").alias("twice_area"))
 
 
-@query("SELECT p_brand AS plan, CAST(round(median((p_size * 100 + p_partkey % 3) / p_size) * 1000) AS BIGINT) AS milli_scale, abs(median((p_size * 100 + p_partkey % 3) / p_size) - 100) <= 1.0 AS ok FROM part GROUP BY p_brand")
+_SVG_SQL = (
+    "svg AS (SELECT p_partkey, p_brand, p_size * 100 + p_partkey % 3 AS w, p_size * 100 + p_partkey % 7 AS h, p_size AS mw, p_size + 1 AS mh, p_type AS name FROM part)"
+)
+
+
+def svg_files(spark, d) -> DataFrame:
+    """(path, text): a drawing for each brand, with a rectangular room for each part, its name and hidden measures."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    w, h = (size * 100 + k % 3).cast("string"), (size * 100 + k % 7).cast("string")
+    room = F.concat(
+        F.lit('<g class="Space Bedroom"><polygon points="0,0 '), w, F.lit(",0 "), w, F.lit(","), h, F.lit(" 0,"), h, F.lit('"/><g class="TextLabel NameLabel"><text>'), F.col("p_type"),
+        F.lit('</text></g><g class="TextLabel DimensionMeasureLabel"><text>'), size.cast("string"), F.lit(" m x "), (size + 1).cast("string"), F.lit(" m</text></g></g>"),
+    )
+    t = table(spark, d, "part").groupBy(F.col("p_brand").alias("path")).agg(F.array_join(F.array_sort(F.collect_list(room)), "").alias("text"))
+    return t.withColumn("text", F.concat(F.lit("<svg>"), "text", F.lit("</svg>")))
+
+
+@query(f"WITH {_SVG_SQL} SELECT p_brand AS path, name, CAST(w AS DOUBLE) AS x2, CAST(h AS DOUBLE) AS y2, round(w * h / 10000.0, 3) AS area_m2, CAST(mw AS DOUBLE) AS labelled_w, CAST(mh AS DOUBLE) AS labelled_h FROM svg")
+def q_svg_rooms(spark, d):
+    """Rooms of drawings, with their outlines' areas and labelled measures."""
+    return files.svg_rooms(svg_files(spark, d)).select("path", "name", "x2", "y2", "area_m2", "labelled_w", "labelled_h")
+
+
+@query(f"WITH {_SVG_SQL}, edge AS (SELECT p_brand, w / mw AS r FROM svg UNION ALL SELECT p_brand, h / mh FROM svg) SELECT p_brand AS plan, CAST(round(median(r) * 1000) AS BIGINT) AS milli_scale, abs(median(r) - 100) <= 1.0 AS ok FROM edge GROUP BY p_brand")
 def q_scale_check(spark, d):
     """Median of drawn extent over labelled metres per plan, and whether it is the expected 100."""
-    t = table(spark, d, "part").groupBy(F.col("p_brand").alias("plan")).agg(F.median((F.col("p_size") * 100 + F.col("p_partkey") % 3) / F.col("p_size")).alias("m"))
-    return t.select("plan", F.round(F.col("m") * 1000).cast("long").alias("milli_scale"), (F.abs(F.col("m") - 100) <= 1.0).alias("ok"))
+    scale = files.svg_scale(files.svg_rooms(svg_files(spark, d)))
+    return scale.select(F.col("path").alias("plan"), F.round(F.col("scale") * 1000).cast("long").alias("milli_scale"), F.col("scale_ok").alias("ok"))
 
 
 @query("SELECT o_orderkey, CAST(floor((o_orderkey % 4000 + 100) * (o_custkey % 3000 + 100) / 750.0) AS INTEGER) AS tokens, CAST((o_orderkey % 360 + 45) % 90 - 45 AS INTEGER) AS skew FROM orders")
@@ -305,9 +340,9 @@ def q_image_sizes(spark, d):
 # -- grounding ----------------------------------------------------------------------------------------------
 
 
-def claimed(spark, d) -> DataFrame:
+def claimed(tokens: DataFrame) -> DataFrame:
     """Rule-based rooms with errors put in: foreign ids, shifted areas, missing ids."""
-    r = pairing.rules_rooms(token_view(spark, d))
+    r = pairing.rules_rooms(tokens)
     k = F.col("label_id") % 6
     ids = F.when(k == 1, F.array(F.lit(9999))).when(k == 2, None).otherwise(F.col("source_token_ids"))
     area = F.when(k == 3, F.lit(77.7)).when(k == 4, F.lit(17.0)).when(k == 5, F.lit(11.8)).otherwise(F.col("area_m2"))
@@ -331,14 +366,14 @@ _ISSUES_SQL = " UNION ALL ".join(
 
 @query(s.rooms_sql(_ISSUES_SQL, _EVIDENCE_SQL))
 def q_grounding_issues(spark, d):
-    tokens, rooms = token_view(spark, d), claimed(spark, d)
-    parts = [grounding.issue_counts(grounding.checked(rooms, tokens, a).withColumn("source", F.lit(a))) for a in ("rules", "vlm", "hybrid")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    tokens = read(spark, d)
+    return grounding.issue_counts(grounding.checked_as(claimed(tokens), tokens, ["rules", "vlm", "hybrid"]))
 
 
 @query(s.rooms_sql("SELECT count(*) AS rooms, count(*) FILTER (k NOT IN (1, 2) AND (good OR seen)) AS grounded FROM judged", _EVIDENCE_SQL))
 def q_grounded_rooms(spark, d):
-    checked = grounding.checked(claimed(spark, d), token_view(spark, d), "hybrid")
+    tokens = read(spark, d)
+    checked = grounding.checked(claimed(tokens), tokens, "hybrid")
     return checked.agg(F.count("*").alias("rooms"), F.count_if("grounded").alias("grounded"))
 
 
@@ -363,9 +398,9 @@ def q_room_union_bbox(spark, d):
 )
 def q_failure_classes(spark, d):
     """Why areas that no parsed token supports were claimed."""
-    tokens = token_view(spark, d)
-    rooms = claimed(spark, d).withColumn("area_m2", F.when(F.col("label_id") % 6 == 3, 21.0).otherwise(F.col("area_m2")))
-    codes = p.parsed(tokens).groupBy("page_id").agg(F.collect_set(F.when(F.col("kind") == "door_window_code", F.col("text"))).alias("codes"))
+    tokens = read(spark, d)
+    rooms = claimed(tokens).withColumn("area_m2", F.when(F.col("label_id") % 6 == 3, 21.0).otherwise(F.col("area_m2")))
+    codes = tokens.groupBy("page_id").agg(F.collect_set(F.when(F.col("kind") == "door_window_code", F.col("text"))).alias("codes"))
     page = rooms.join(grounding.evidence(tokens), "page_id").join(codes, "page_id").filter(F.col("area_m2").isNotNull() & ~grounding.supported(F.col("area_m2"), F.col("parsed_areas")))
     return page.groupBy(grounding.failure_class(F.col("area_m2"), F.col("numbers"), F.col("codes")).alias("class")).agg(F.count("*").alias("n"))
 
@@ -373,14 +408,14 @@ def q_failure_classes(spark, d):
 # -- scoring ------------------------------------------------------------------------------------------------
 
 
-def predictions(spark, d) -> DataFrame:
-    r = pairing.rules_rooms(token_view(spark, d)).filter("area_m2 is not null")
+def predictions(tokens: DataFrame) -> DataFrame:
+    r = pairing.rules_rooms(tokens).filter("area_m2 is not null")
     return r.select(F.col("page_id").alias("plan"), F.when(F.col("label_id") % 2 == 0, "rules").otherwise("hybrid").alias("approach"), F.col("label_id").alias("ord"), F.col("room_type").alias("label"), F.col("area_m2").alias("area"))
 
 
-def known_rooms(spark, d) -> DataFrame:
+def known_rooms(tokens: DataFrame) -> DataFrame:
     """Known rooms of each page: every other labelled area on it, a little larger than printed."""
-    t = read(spark, d).filter("kind = 'area' and plausible and not weak and token_index % 2 = 0")
+    t = tokens.filter("kind = 'area' and plausible and not weak and token_index % 2 = 0")
     kinds = F.array(*[F.lit(x) for x in ("bedroom", "walk_in_closet", "kitchen", "wc")])
     return t.select(F.col("page_id").alias("plan"), F.col("token_index").alias("ord"), F.element_at(kinds, F.col("token_index") % 4 + 1).alias("label"), F.round(F.col("area_m2") * 1.03, 3).alias("area"))
 
@@ -388,14 +423,14 @@ def known_rooms(spark, d) -> DataFrame:
 @query()
 def q_area_greedy_match(spark, d):
     """Greedy matches per plan; order-dependent, tested against a plain loop."""
-    tol = spark.createDataFrame([(0.05,)], "tolerance double")
-    return scoring.scored(predictions(spark, d), known_rooms(spark, d), tol)
+    tokens = read(spark, d)
+    return scoring.scored(predictions(tokens), known_rooms(tokens), [0.05])
 
 
 @query()
 def q_tolerance_sweep(spark, d):
-    tol = spark.createDataFrame([(x,) for x in (0.02, 0.05, 0.1, 0.2)], "tolerance double")
-    return scoring.totals(scoring.scored(predictions(spark, d), known_rooms(spark, d), tol), "approach", "tolerance")
+    tokens = read(spark, d)
+    return scoring.totals(scoring.scored(predictions(tokens), known_rooms(tokens), [0.02, 0.05, 0.1, 0.2]), "approach", "tolerance")
 
 
 _SCORE_SQL = (
@@ -414,7 +449,8 @@ _SCORE_SQL = (
 )
 def q_area_leftover_class(spark, d):
     """Predictions close to a room of another name, and those whose name the plan has (semi joins)."""
-    pred, known = predictions(spark, d), known_rooms(spark, d).select("plan", F.col("label").alias("other"), F.col("area").alias("size"))
+    tokens = read(spark, d)
+    pred, known = predictions(tokens), known_rooms(tokens).select("plan", F.col("label").alias("other"), F.col("area").alias("size"))
     near = pred.join(known, "plan").groupBy("plan", "approach", "ord").agg(
         F.bool_or((F.col("other") != F.col("label")) & scoring.close(F.col("area"), F.col("size"), F.lit(0.05))).alias("e"), F.bool_or(F.col("other") == F.col("label")).alias("m")
     )
@@ -430,24 +466,36 @@ def q_area_leftover_class(spark, d):
     )
 )
 def q_offset_stats(spark, d):
-    o = scoring.offsets(predictions(spark, d), known_rooms(spark, d)).groupBy("approach")
+    tokens = read(spark, d)
+    o = scoring.offsets(predictions(tokens), known_rooms(tokens)).groupBy("approach")
     within = lambda x: F.count_if(F.abs("offset") <= x)
     return o.agg(F.count("*").alias("n"), within(0.05).alias("within5"), within(0.1).alias("within10"), F.round(F.median("offset") * 1000000).cast("long").alias("median_ppm"))
 
 
+_MEASURE_SQL = (
+    "m AS (SELECT o_orderpriority AS approach, o_orderkey % 7 AS correct, o_custkey % 3 AS misattributed, o_custkey % 5 AS wrong_value, o_orderkey % 2 AS hallucinated, o_custkey % 4 AS missed, "
+    "CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE o_orderkey % 7 + o_custkey % 4 END AS known, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE o_orderkey % 7 + o_custkey % 3 + o_custkey % 5 + o_orderkey % 2 END AS reported FROM orders)"
+)
+
+
 @query(
-    "SELECT lang, count(*) AS reported, count(*) FILTER (quality = 1) AS correct, count(*) FILTER (toxic = 1) AS toxic, CAST(floor(coalesce(count(*) FILTER (quality = 1) * 1000000.0 / count(*), 0)) AS BIGINT) AS precision_ppm "
-    "FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY lang"
+    f"WITH {_MEASURE_SQL} SELECT approach, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(known) AS BIGINT) AS known, CAST(sum(reported) AS BIGINT) AS reported, "
+    "CASE WHEN sum(reported) = 0 THEN 0 ELSE sum(correct) / sum(reported) END AS precision, CASE WHEN sum(known) = 0 THEN 0 ELSE sum(correct) / sum(known) END AS recall FROM m GROUP BY approach"
 )
 def q_precision_recall(spark, d):
-    t = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang")
-    t = t.agg(F.count("*").alias("reported"), F.count_if(F.col("quality") == 1).alias("correct"), F.count_if(F.col("toxic") == 1).alias("toxic"))
-    return t.withColumn("precision_ppm", F.floor(F.coalesce(F.try_divide(F.col("correct") * 1000000.0, F.col("reported")), F.lit(0.0))))
+    """Partial scores added up per approach; nothing reported or known gives 0."""
+    k, c, a = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
+    m = {"correct": k % 7, "misattributed": c % 3, "wrong_value": c % 5, "hallucinated": k % 2, "missed": c % 4}
+    known = F.when(a == "5-LOW", 0).otherwise(m["correct"] + m["missed"])
+    reported = F.when(a == "1-URGENT", 0).otherwise(m["correct"] + m["misattributed"] + m["wrong_value"] + m["hallucinated"])
+    rows = table(spark, d, "orders").select(a.alias("approach"), *[v.alias(n) for n, v in m.items()], known.alias("known"), reported.alias("reported"))
+    return scoring.totals(rows, "approach").select("approach", "correct", "known", "reported", "precision", "recall")
 
 
 @query(s.rooms_sql("SELECT p.approach, count(DISTINCT (p.plan, p.label)) AS found, (SELECT count(DISTINCT (plan, label)) FROM known) AS total FROM pred p JOIN known k ON k.plan = p.plan AND k.label = p.label GROUP BY p.approach", _SCORE_SQL))
 def q_label_set_recall(spark, d):
-    pred, known = predictions(spark, d).select("plan", "approach", "label").distinct(), known_rooms(spark, d).select("plan", "label").distinct()
+    tokens = read(spark, d)
+    pred, known = predictions(tokens).select("plan", "approach", "label").distinct(), known_rooms(tokens).select("plan", "label").distinct()
     total = known.agg(F.count("*").alias("total"))
     return pred.join(known, ["plan", "label"], "left_semi").groupBy("approach").agg(F.count("*").alias("found")).join(F.broadcast(total))
 
@@ -463,11 +511,10 @@ def q_label_set_recall(spark, d):
 )
 def q_funnel(spark, d):
     """Printed areas (from a note per page) that were read, parsed and paired."""
-    t = token_view(spark, d)
     r = read(spark, d)
     parsed = r.groupBy("page_id").agg(F.collect_set(F.when(F.col("kind") == "area", F.col("area_m2"))).alias("parsed"))
     paired = pairing.pairs(r).groupBy("page_id").agg(F.collect_set("area_m2").alias("paired"))
-    page = grounding.evidence(t).select("page_id", F.col("numbers").alias("read")).join(parsed, "page_id").join(paired, "page_id", "left")
+    page = grounding.evidence(r).select("page_id", F.col("numbers").alias("read")).join(parsed, "page_id").join(paired, "page_id", "left")
     note = F.lit("MH 11.7 x2, VH 3.6, nothing, K 24.0")
     return reports.funnel(page.withColumns({"printed": reports.printed_areas(note), "paired": F.coalesce("paired", F.array().cast("array<double>"))}))
 
@@ -541,11 +588,14 @@ def q_structured_parse(spark, d):
     return e.groupBy(costs.answer_status(stop, text, ["k"]).alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type AS request, sum(input_tokens) AS input_tokens, count(*) AS attempts FROM (SELECT event_type, CAST(floor(value) AS BIGINT) % 1000 + 100 AS input_tokens FROM events) GROUP BY event_type")
+@query(
+    f"WITH {_CALLS_SQL}, a AS (SELECT seq // 3 AS request, seq, model, v % 1000 + 100 AS i, v % 77 + 10 AS o FROM calls) "
+    "SELECT request, arg_max(model, seq) AS model, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, count(*) AS attempts, CASE WHEN count(*) > 1 THEN 'extract:retry' ELSE 'extract' END AS purpose FROM a GROUP BY request"
+)
 def q_call_usage(spark, d):
     """Attempts of a request folded into one usage row."""
-    c = calls(spark, d).select(F.col("event_type").alias("request"), F.col("seq").alias("attempt"), F.lit("extract").alias("purpose"), "input_tokens", "output_tokens")
-    return c.groupBy("request").agg(F.sum("input_tokens").alias("input_tokens"), F.count("*").alias("attempts"))
+    c = calls(spark, d).select(F.floor(F.col("seq") / 3).alias("request"), F.col("seq").alias("attempt"), "model", F.lit("extract").alias("purpose"), "input_tokens", "output_tokens")
+    return costs.usage(c).select("request", "model", "input_tokens", "output_tokens", "attempts", "purpose")
 
 
 @query(f"WITH {_CALLS_SQL} SELECT model AS approach, count(*) AS pages, sum(micro_usd) AS micro_usd, CAST(floor(avg(micro_usd) * 270) AS BIGINT) AS projected_micro_usd FROM costed GROUP BY model")
@@ -584,9 +634,6 @@ def q_failure_rank(spark, d):
     return reports.worst(reports.severity(rows), 5).select("approach", "plan", "score", "place")
 
 
-CSV_COLUMNS = ["plan_id", "filename", "page_number", "source", "name", "room_type", "area_m2", "width_m", "length_m", "confidence", "grounded", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "raw_text", "source_token_ids"]
-
-
 @query(
     s.rooms_sql(
         "SELECT CAST(r.page_id // 10 AS VARCHAR) AS plan_id, 'plan_' || (r.page_id // 10) || '.pdf' AS filename, CAST(r.page_id % 10 + 1 AS INTEGER) AS page_number, 'rules' AS source, r.label_raw AS name, r.room_type, r.area_m2, "
@@ -597,7 +644,7 @@ CSV_COLUMNS = ["plan_id", "filename", "page_number", "source", "name", "room_typ
 )
 def q_source_filter_export(spark, d):
     """Rooms of one source in the columns of the export."""
-    t = token_view(spark, d)
+    t = read(spark, d)
     rooms = grounding.checked(pairing.rules_rooms(t), t, "rules").withColumn("source", F.lit("rules")).filter(F.col("source") == "rules")
     boxes = grounding.room_boxes(rooms, t)
     plan = F.floor(F.col("page_id") / 10).cast("string")
@@ -607,7 +654,7 @@ def q_source_filter_export(spark, d):
             "source_token_ids": F.nullif(F.array_join("source_token_ids", ","), F.lit("")), **{f"bbox_{c}": F.col(c) for c in g.BOX},
         }
     )
-    return out.select(*CSV_COLUMNS)
+    return out.select(*EXPORT)
 
 
 _ARM = {"off": "text", "on": s.repaired("text"), "aggressive": f"regexp_replace({s.repaired('text')}, '(?i)(\\d)\\s*m\\s*$', '\\1 m2')"}

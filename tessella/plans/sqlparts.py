@@ -34,7 +34,7 @@ def clean(expr: str) -> str:
     return f"trim(regexp_replace({expr}, '\\s+', ' ', 'g'))"
 
 
-REPAIR = r"(?i)m\s*[\^{}][\^{}\s]*([2²])?[\^{}\s]*"
+REPAIR = p.DAMAGED_UNIT.replace(r"(?=[\^{}])", r"[\^{}]")
 
 
 def repaired(expr: str) -> str:
@@ -55,6 +55,36 @@ def resolved(name: str, source: str) -> str:
   LEFT JOIN {name}_f f ON f.norm = b.norm LEFT JOIN lex r ON r.label = f.label LEFT JOIN {name}_c c ON c.norm = b.norm)"""
 
 
+_SIZE = "CASE k.kind WHEN 'area' THEN v WHEN 'dimension_pair' THEN (a / scale) * (b / scale) END"
+_LIKELY = f"coalesce({_SIZE} BETWEEN {p.LEAST_AREA} AND {p.MOST_AREA}, true)"
+
+
+def filled(template: str, *values: str) -> str:
+    """A fixed text with SQL values in place of its %s."""
+    first, *rest = template.split("%s")
+    return " || ".join([lit(first), *(f"{v} || {lit(x)}" for v, x in zip(values, rest, strict=True))])
+
+
+def quoted(e: str) -> str:
+    return f"CASE WHEN contains({e}, chr(39)) THEN chr(34) || {e} || chr(34) ELSE chr(39) || {e} || chr(39) END"
+
+
+REASON = (
+    f"CASE WHEN k.raw = '' THEN {lit(p.REASONS['empty'])} WHEN k.kind = 'area' THEN CASE WHEN CASE rule WHEN 'label_area' THEN regexp_matches(t, {lit(p.AREA_UNIT)}) ELSE k.fmt = 'area_unit' END "
+    f"THEN {lit(p.REASONS['explicit'])} ELSE {lit(p.REASONS['bare'])} END || CASE WHEN {_LIKELY} THEN '' ELSE {lit(p.REASONS['implausible'])} END "
+    f"WHEN k.fmt = 'label_area' THEN {filled(p.REASONS['unknown_label'], 'k.named')} WHEN k.fmt = 'imperial_pair' AND (a <= 0 OR b <= 0) THEN {lit(p.REASONS['imperial_zero'])} "
+    f"WHEN k.fmt = 'pair' AND (a <= 0 OR b <= 0) THEN {lit(p.REASONS['pair_zero'])} WHEN k.fmt = 'pair' THEN " + filled(p.REASONS["pair"], "format('{:g}', a)", "format('{:g}', b)") + " "
+    f"WHEN k.fmt = 'bare_integer' THEN CASE WHEN regexp_matches(t, {lit(p.YEAR)}) THEN {lit(p.REASONS['year'])} ELSE " + filled(p.REASONS["bare_integer"], "format('{:g}', v)") + " END "
+    + " ".join(f"WHEN k.fmt = {lit(x)} THEN {lit(why)}" for x, why in p.REASONS.items() if x in ("scale", "elevation", "apartment_summary", "sheet_number", "imperial_pair", "mm_pair_explicit", "cm_pair", "m_pair_explicit", "m_pair_decimal", "door_window_code", "mm_pair", "label_only"))
+    + f" ELSE {lit(p.REASONS['nothing'])} END"
+)
+WARNINGS = (
+    f"list_filter([CASE WHEN k.kind = 'area' AND NOT {_LIKELY} THEN " + filled(p.AREA_RANGE, "format('{:g}', " + _SIZE + ")", f"CASE WHEN {_SIZE} < {p.LEAST_AREA} THEN 'below' ELSE 'above' END") + " END, "
+    f"CASE WHEN k.kind = 'dimension_pair' AND NOT {_LIKELY} THEN " + filled(p.IMPLIED, "format('{:.3g}', " + _SIZE + ")") + " END, "
+    f"CASE WHEN k.t <> k.raw THEN " + filled(p.REPAIRED, quoted("k.raw"), quoted("k.t")) + " END], lambda w: w IS NOT NULL)"
+)
+
+
 def parsed(source: str = "tokens") -> str:
     """CTE ``parsed``: one row per distinct text of ``source``, with the reading of it."""
     m = lambda pattern: f"regexp_matches(t, {lit(pattern)})"
@@ -102,7 +132,7 @@ parsed AS (
     CASE WHEN k.kind = 'area' AND k.rule = 'label_area' THEN {g(p.LABEL_AREA, 1)} WHEN k.fmt = 'label_only' THEN k.t END AS label,
     CASE WHEN k.kind = 'area' AND k.rule = 'label_area' THEN named_type WHEN k.fmt = 'label_only' THEN own_type END AS room_type,
     coalesce(CASE k.kind WHEN 'area' THEN v WHEN 'dimension_pair' THEN (a / scale) * (b / scale) END BETWEEN {p.LEAST_AREA} AND {p.MOST_AREA}, true) AS plausible,
-    k.fmt IN ({weak}) AS weak, regexp_matches(k.text, {lit(p.APARTMENT_CODE)}) AS is_code
+    {REASON} AS reason, {WARNINGS} AS warnings, k.fmt IN ({weak}) AS weak, regexp_matches(k.text, {lit(p.APARTMENT_CODE)}) AS is_code
   FROM p_kind k LEFT JOIN p_res q ON q.norm = k.text_norm)"""
 
 

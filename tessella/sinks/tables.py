@@ -65,8 +65,10 @@ def confidence_tier(confidence: Column) -> Column:
 
 
 def markdown(report: DataFrame, most: int = 1000) -> str:
-    """A report of at most ``most`` rows as a Markdown table."""
-    rows = report.limit(most).collect()
+    """A report as a Markdown table; one of more than ``most`` rows is no report and raises."""
+    rows = report.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows; aggregate it or name a higher bound")
     show = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
     lines = [report.columns, ["---"] * len(report.columns), *[[show(v) for v in r] for r in rows]]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)

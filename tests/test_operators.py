@@ -117,9 +117,9 @@ def test_scoring(spark):
     rows = lambda side: [(k, "x", i, *room) for k, case in enumerate(cases) for i, room in enumerate(case[side])]
     pred = spark.createDataFrame(rows(0), "plan int, approach string, ord int, label string, area double")
     known = spark.createDataFrame(rows(1), "plan int, approach string, ord int, label string, area double").drop("approach")
-    got = scoring.scored(pred, known, spark.createDataFrame([(0.05,)], "tolerance double")).collect()
+    got = scoring.scored(pred, known, [0.05]).collect()
     assert {x["plan"]: tuple(x[c] for c in scoring.MEASURES[:5]) for x in got} == {k: score_plainly(*case, 0.05) for k, case in enumerate(cases)}
-    total = scoring.totals(scoring.scored(pred, known, spark.createDataFrame([(0.05,)], "tolerance double")), "approach").first()
+    total = scoring.totals(scoring.scored(pred, known, [0.05]), "approach").first()
     assert total["precision"] == pytest.approx(total["correct"] / total["reported"])
 
 
