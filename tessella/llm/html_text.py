@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +29,7 @@ BLOCK = frozenset(
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table "
     "tbody td tfoot th thead tr ul".split()
 )
+CELL = frozenset(("td", "th", "table"))
 #: An opening tag ends an open element of these kinds, within the nearest container.
 ENDS = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 SCOPE = frozenset("article aside body div dl fieldset figure footer form header html main nav ol section table td th ul".split())
@@ -53,24 +55,22 @@ PARTS = frozenset(
 
 
 class Node:
-    __slots__ = ("tag", "up", "parts", "beside", "likely", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "up", "parts", "beside", "likely", "open", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, up: Node | None, beside: bool):
         self.tag, self.up, self.parts, self.beside = tag, up, [], beside
         self.likely = False
+        #: How many elements of each kind are open inside the nearest table or cell.
+        self.open: Counter[str] = Counter() if up is None or tag in CELL else up.open
 
 
-def _beside(tag: str, attributes: str, up: Node) -> bool | None:
+def _beside(tag: str, attributes: str, inside_article: bool) -> bool | None:
     """Whether an element stands beside the article; None if it does unless it holds most of the page's plain text."""
     likely = False
     if tag in ASIDE:
         return True
     if tag == "header":  # of the page, not of the article
-        while up is not None:
-            if up.tag in ("article", "main"):
-                return False
-            up = up.up
-        return True
+        return not inside_article
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     seen = set()
@@ -104,6 +104,15 @@ def parse(page: str) -> Node:
     root = Node("html", None, False)
     here, at, size = root, 0, len(page)
     low = None
+    every = Counter({"html": 1})  # open elements by kind, anywhere
+
+    def leave(node: Node, to: Node) -> Node:  # each element is left once, so closing costs no more than opening
+        while node is not to:
+            every[node.tag] -= 1
+            node.up.open[node.tag] -= 1
+            node = node.up
+        return to
+
     add = lambda s: here.parts.append(html.unescape(s) if "&" in s else s)
     while True:
         m = TAG.search(page, at)
@@ -120,17 +129,17 @@ def parse(page: str) -> Node:
         tag = tag.lower()
         if m[2]:
             node = here
+            through = tag in SCOPE or tag in ("tr", "tbody", "thead")  # others do not close what is open outside a cell
+            if not (every if through else here.open)[tag]:
+                node = None
             while node is not None and node.tag != tag:
-                if node.tag in ("td", "th", "table") and tag not in SCOPE and tag not in ("tr", "tbody", "thead"):
-                    node = None
-                    break
                 node = node.up
             if node is not None and node.up is not None:
-                here = node.up
+                here = leave(here, node.up)
             elif tag == "p":
                 here.parts.append(Node("p", here, False))
             continue
-        if tag in ("html", "body") and any(n.tag == tag for n in _path(here)):
+        if tag in ("html", "body") and every[tag]:
             continue
         if tag in VOID:
             here.parts.append(Node(tag, here, tag in ASIDE))
@@ -149,16 +158,20 @@ def parse(page: str) -> Node:
             continue
         ends = ENDS.get(tag) or (("p",) if tag in BLOCK else ())
         node, stop = here, None
-        while node.up is not None and ends and (node.tag not in SCOPE or node.tag in ends):
+        left = sum(every[e] for e in ends)
+        while left and node.up is not None and (node.tag not in SCOPE or node.tag in ends):
             if node.tag in ends:
                 stop = node
+                left -= 1
             node = node.up
         if stop is not None:
-            here = stop.up
-        sure = _beside(tag, m[4], here)
+            here = leave(here, stop.up)
+        sure = _beside(tag, m[4], every["article"] + every["main"] > 0)
         new = Node(tag, here, sure is not False)
         new.likely = sure is None
         here.parts.append(new)
+        every[tag] += 1
+        here.open[tag] += 1
         here = new
 
 

@@ -318,8 +318,14 @@ def test_main_text_drops_by_names_and_not_by_stray_words():
 
 
 def test_main_text_is_linear_in_odd_pages():
-    for page in ("<" * 100_000, "<a " * 50_000, "<div>" * 5000 + "x", "<b>" * 5000 + "y", "&amp;" * 50_000):
+    import time
+
+    n = 60_000
+    many = ("<" * 100_000, "<a " * 50_000, "<div>" * 5000 + "x", "<b>" * 5000 + "y", "&amp;" * 50_000, "<b>" * n + "</i>" * n, "<b>" * n + "<p>x" * n, "<b>" * n + "<body>" * n)
+    for page in (*many, "<i><table><tr><td>" + "<b>" * n + "</i>" * n, "<header>" * n + "z", "<table><tr><td>" * n + "</b>" * n):
+        began = time.process_time()
         html_text.main_text(page)
+        assert time.process_time() - began < 20, page[:40]
 
 
 def test_pages_table(spark):
