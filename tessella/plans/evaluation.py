@@ -51,8 +51,8 @@ _FOLD_SQL = (
     "t AS (SELECT p.*, row_number() OVER (PARTITION BY plan, approach ORDER BY ord) AS n FROM pred p), "
     "size AS (SELECT plan, approach, count(*) AS reported FROM pred GROUP BY plan, approach), "
     "state AS (SELECT z.plan, z.approach, tol, CAST(0 AS BIGINT) AS n, k.known AS rest, CAST([] AS BIGINT[]) AS free FROM size z JOIN k ON k.plan = z.plan, (SELECT unnest([{tolerances}]) AS tol) UNION ALL "
-    "SELECT plan, approach, tol, n, CASE WHEN at > 0 THEN list_concat(rest[:at - 1], rest[at + 1:]) ELSE rest END, CASE WHEN at > 0 THEN free ELSE list_append(free, n) END FROM ("
-    f"SELECT s.plan, s.approach, tol, t.n, rest, free, coalesce(list_position(list_transform(rest, lambda o: o.label = t.label AND {_CLOSE}), true), 0) AS at "
+    "SELECT plan, approach, tol, n, CASE WHEN place > 0 THEN list_concat(rest[:place - 1], rest[place + 1:]) ELSE rest END, CASE WHEN place > 0 THEN free ELSE list_append(free, n) END FROM ("
+    f"SELECT s.plan, s.approach, tol, t.n, rest, free, coalesce(list_position(list_transform(rest, lambda o: o.label = t.label AND {_CLOSE}), true), 0) AS place "
     "FROM state s JOIN t ON t.plan = s.plan AND t.approach = s.approach AND t.n = s.n + 1)), "
     "last AS (SELECT s.* FROM state s JOIN size z ON z.plan = s.plan AND z.approach = s.approach AND s.n = z.reported), "
     f"class AS (SELECT l.plan, l.approach, l.tol, len(list_filter(k.known, lambda o: o.label <> t.label AND {_CLOSE})) > 0 AS other, len(list_filter(k.known, lambda o: o.label = t.label)) > 0 AS named "
