@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -31,10 +32,20 @@ def requests(tokens: DataFrame, pairs: DataFrame, approach: str) -> DataFrame:
     return page.select("page_id", F.lit(approach).alias("approach"), prompt.alias("prompt"), F.lit(with_image).alias("with_image"))
 
 
-def called(asked: DataFrame, client: Callable[[str, bool], dict], retries: int = 1) -> DataFrame:
+class CallError(Exception):
+    """A call that failed after it was answered: ``input_tokens`` and ``output_tokens`` were spent nevertheless."""
+
+    def __init__(self, message: str, input_tokens: int = 0, output_tokens: int = 0):
+        super().__init__(message)
+        self.input_tokens, self.output_tokens = input_tokens, output_tokens
+
+
+def called(asked: DataFrame, client: Callable[[str, bool], dict], retries: int = 1, wait: float = 0.0) -> DataFrame:
     """The answer to each request; ``client(prompt, with_image)`` gives text, stop_reason and token counts, or raises.
 
-    A failed call is tried again ``retries`` times; counters add up over attempts, and a request never stops the others.
+    A failed call is tried again ``retries`` times, after ``wait`` seconds that double each time; a refusal is an answer
+    and is not paid for again. Counters add up over attempts, those of a ``CallError`` too, and a request never stops the
+    others.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,10 +58,13 @@ def called(asked: DataFrame, client: Callable[[str, bool], dict], retries: int =
                         answer = client(prompt, image)
                     except Exception as failed:
                         answer, error = {}, f"{type(failed).__name__}: {failed}"
+                        spent = [a + getattr(failed, c, 0) for a, c in zip(spent, ("input_tokens", "output_tokens"), strict=True)]
+                        if wait and tried <= retries:
+                            time.sleep(wait * 2 ** (tried - 1))
                         continue
                     spent = [a + (answer.get(c) or 0) for a, c in zip(spent, ("input_tokens", "output_tokens"), strict=True)]
                     error = None if answer.get("text") and answer.get("stop_reason") not in ("refusal", "max_tokens") else answer.get("stop_reason") or "no output"
-                    if error is None:
+                    if error is None or answer.get("stop_reason") == "refusal":
                         break
                 out.append((page, approach, answer.get("text"), answer.get("stop_reason"), error is None, error, tried, *spent))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CALL.split(", ")])
@@ -92,3 +106,46 @@ def readable_numbers(tokens: DataFrame) -> DataFrame:
     sure = (F.col("kind") == "area") & F.col("plausible") & ~F.col("fmt").isin("area_bare_integer", "label_area_integer")
     numbers = F.when(other, F.array().cast("array<double>")).when(sure, F.array("area_m2")).otherwise(loose)
     return t.withColumn("numbers", F.coalesce(numbers, F.array().cast("array<double>"))).select(*tokens.columns, "numbers")
+
+
+def without_temperature(client: Callable[..., dict], model: str, temperature: float | None, rejected: Callable[[str], bool], memory: set[str]) -> Callable[[str, bool], dict]:
+    """A client that sends a temperature until a model rejects it, and then never again to that model.
+
+    ``client(prompt, with_image, temperature)``; ``rejected`` tells such errors; ``memory`` holds the models that do not
+    take one. The call that was rejected is made again at once.
+    """
+
+    def call(prompt: str, with_image: bool) -> dict:
+        if temperature is not None and model not in memory:
+            try:
+                return client(prompt, with_image, temperature)
+            except Exception as failed:
+                if not rejected(str(failed)):
+                    raise
+                memory.add(model)
+        return client(prompt, with_image, None)
+
+    return call
+
+
+def run_approaches(names: list[str], runners: dict[str, Callable[[], DataFrame]]) -> DataFrame | None:
+    """The rooms of all approaches with their ``source``; unknown names are passed over, None if no approach is known."""
+    parts = [runners[a]().withColumn("source", F.lit(a)) for a in names if a in runners]
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def rescored(rows: DataFrame, bodies: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` (plan, approach, ...) with the columns that ``score`` gives from the raw bodies (plan, approach, body).
+
+    ``score(bodies)`` has plan and approach; rows without a body keep what they had.
+    """
+    new = score(bodies)
+    keys, fresh = ["plan", "approach"], [c for c in new.columns if c not in ("plan", "approach")]
+    renamed = new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in fresh], F.lit(True).alias("_scored"))
+    both = rows.join(renamed, keys, "left")
+    value = lambda c: F.when(F.col("_scored"), F.col(f"_new_{c}")).otherwise(F.col(c) if c in rows.columns else F.lit(None))
+    kept = [c for c in rows.columns if c not in fresh]
+    return both.select(*kept, *[value(c).alias(c) for c in fresh])

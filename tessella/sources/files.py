@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessella.functions import geometry as g
 
@@ -159,23 +158,28 @@ def known_rooms(rooms: DataFrame, scale: DataFrame, least: float = 1.0) -> DataF
 
 
 def price_table(spark: SparkSession, text: str) -> DataFrame:
-    """Prices from YAML text with ``models: {name: {input, output, cache_read, cache_write}}``."""
+    """Prices from YAML text with ``models: {name: {input, output, cache_read, cache_write}}``.
+
+    Each row carries the ``mode`` (standard by default), the ``batch_multiplier`` (0.5) and the date of the table.
+    """
     import yaml
 
-    models = (yaml.safe_load(text) or {}).get("models", {})
+    table = yaml.safe_load(text) or {}
+    models = table.get("models", {})
+    common = (str(table.get("mode", "standard")), float(table.get("batch_multiplier", 0.5)), None if table.get("checked") is None else str(table["checked"]))
     number = lambda v: None if v is None else float(v)
-    rows = [(name, *(number(m.get(k)) for k in ("input", "output", "cache_read", "cache_write"))) for name, m in models.items()]
-    schema = T.StructType([T.StructField("model", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("input", "output", "cache_read", "cache_write")]])
+    rows = [(name, *(number(m.get(k)) for k in ("input", "output", "cache_read", "cache_write")), *common) for name, m in models.items()]
+    schema = "model string, input double, output double, cache_read double, cache_write double, mode string, batch_multiplier double, checked string"
     return spark.createDataFrame(rows, schema)
 
 
 def batch_results(spark: SparkSession, path: str) -> DataFrame:
-    """(custom_id, status, stop_reason, text, input_tokens, output_tokens) of a file of batch results, a JSON object a line."""
+    """(custom_id, status, stop_reason, text, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens) of a file of batch results, a JSON object a line."""
     schema = (
         "custom_id string, result struct<type:string, message:struct<stop_reason:string, content:array<struct<type:string,text:string>>, "
-        "usage:struct<input_tokens:bigint,output_tokens:bigint>>>"
+        "usage:struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>>>"
     )
     raw, m = spark.read.schema(schema).json(path), "result.message"
     text = F.get(F.filter(F.col(f"{m}.content"), lambda b: b["type"] == "text"), F.lit(0))["text"]
-    counter = lambda c: F.coalesce(F.col(f"{m}.usage.{c}"), F.lit(0)).alias(c)
-    return raw.select("custom_id", F.col("result.type").alias("status"), F.col(f"{m}.stop_reason").alias("stop_reason"), text.alias("text"), counter("input_tokens"), counter("output_tokens"))
+    counter = lambda c, name=None: F.coalesce(F.col(f"{m}.usage.{c}"), F.lit(0)).alias(name or c)
+    return raw.select("custom_id", F.col("result.type").alias("status"), F.col(f"{m}.stop_reason").alias("stop_reason"), text.alias("text"), counter("input_tokens"), counter("output_tokens"), counter("cache_read_input_tokens", "cache_read_tokens"), counter("cache_creation_input_tokens", "cache_write_tokens"))
