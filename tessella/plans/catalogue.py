@@ -239,19 +239,22 @@ def q_prompt_lines(spark, d):
 
 @query(
     s.tokens_sql(
-        "SELECT a.page_id, a.token_index AS a, b.token_index AS b, CAST(greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS BIGINT) AS common, "
-        "CAST((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS BIGINT) AS joint "
-        "FROM tokens a JOIN tokens b ON a.page_id = b.page_id AND a.token_index < b.token_index WHERE least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1)"
+        "SELECT page_id, count(*) AS pairs, CAST(sum(common) AS BIGINT) AS common, CAST(sum(joint - common) AS BIGINT) AS joint, count(*) FILTER (2 * common >= joint - common) AS half FROM ("
+        "SELECT a.page_id, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS common, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS joint "
+        "FROM tokens a JOIN tokens b ON a.page_id = b.page_id AND a.token_index < b.token_index) WHERE common > 0 GROUP BY page_id"
     )
 )
 def q_iou_pairs(spark, d):
-    """Boxes of one page with common area; IoU is common / joint."""
+    """Per page: the pairs of boxes with common area, their common and joint areas, and those with an IoU of half at least."""
     t = token_view(spark, d)
     a = t.select("page_id", F.col("token_index").alias("a"), g.box().alias("p"))
     b = t.select("page_id", F.col("token_index").alias("b"), g.box().alias("q"))
     p_, q_ = F.col("p"), F.col("q")
     both = a.join(b, "page_id").filter((F.col("a") < F.col("b")) & (g.intersection(p_, q_) > 0))
-    return both.select("page_id", "a", "b", g.intersection(p_, q_).cast("long").alias("common"), (g.area(p_) + g.area(q_) - g.intersection(p_, q_)).cast("long").alias("joint"))
+    common = g.intersection(p_, q_)
+    return both.groupBy("page_id").agg(
+        F.count("*").alias("pairs"), F.sum(common).cast("long").alias("common"), F.sum(g.area(p_) + g.area(q_) - common).cast("long").alias("joint"), F.count_if(g.iou(p_, q_) >= 0.5).alias("half")
+    )
 
 
 SHAPE_SQL = "CASE WHEN y2 - y1 > (x2 - x1) * 1.2 THEN 'tall' WHEN x2 - x1 > (y2 - y1) * 1.2 THEN 'wide' ELSE 'square' END"
