@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -242,6 +245,12 @@ def reading(text: Column) -> Column:
     )
 
 
+@functools.lru_cache(maxsize=1)
+def _reading_in(gateway) -> Column:
+    """The reading of a column ``_text``: a large expression, built once for each JVM."""
+    return reading(F.col("_text"))
+
+
 def parsed(df: DataFrame, text: str = "text", more=None) -> DataFrame:
     """``df`` with the fields of ``reading``, and those that ``more(text)`` gives by name; nothing if it has them already.
 
@@ -251,7 +260,7 @@ def parsed(df: DataFrame, text: str = "text", more=None) -> DataFrame:
     if set(FIELDS) <= set(df.columns):
         return df
     extra = more(F.col("_text")) if more else {}
-    once = df.select(F.col(text).alias("_text")).distinct().withColumn("_reading", reading(F.col("_text")))
+    once = df.select(F.col(text).alias("_text")).distinct().withColumn("_reading", _reading_in(SparkContext._gateway))
     once = once.select("_text", *[F.col(f"_reading.{c}").alias(c) for c in FIELDS], *[c.alias(n) for n, c in extra.items()])
     return df.join(once, F.col(text).eqNullSafe(F.col("_text")), "left").select(*df.columns, *FIELDS, *extra)
 
