@@ -20,15 +20,25 @@ from tessella.llm.line_dedup import cleaned
 
 #: A document goes if the best language contains less than this share of its letter grams.
 MIN_COVERAGE = 0.2
+#: Shorter texts, in characters, are not judged by their grams.
+JUDGED = 8
 #: A text stays whole if boilerplate lines are more than this share of it: it is a copy of other texts, and the next
 #: stage, which keeps one of them, has to see it whole.
 COPY_SHARE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns the languages from all labelled documents; those without letters or in no learned language go."""
-    judged = identified(docs, fit(docs))
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("coverage") >= MIN_COVERAGE)).select(*docs.columns)
+    """Learns the languages from all labelled documents; those without letters or in no learned language go.
+
+    A text of fewer than JUDGED characters has too few grams to be judged and stays if it has letters. Without any labelled
+    document nothing is learned and all stay.
+    """
+    filters = fit(docs)
+    if not filters.languages:
+        return docs
+    judged = identified(docs, filters)
+    good = (F.col("coverage") >= MIN_COVERAGE) | (F.length("text") < JUDGED)
+    return judged.filter((F.col("lang_pred") != "und") & good).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
