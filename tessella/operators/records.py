@@ -63,8 +63,9 @@ def page_lookup(wanted: DataFrame, pages: DataFrame, stored: DataFrame) -> DataF
 
 
 def approaches(text: Column) -> Column:
-    """The names of a comma-separated list, trimmed, blank ones left out."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda a: a != "")
+    """The names of a comma-separated list, without the spaces around them, blank ones left out."""
+    # A function of two arguments would be given the position too, so it is not passed by its name.
+    return F.filter(F.transform(F.split(text, ","), lambda a: F.regexp_replace(a, r"^\p{Zs}+|\p{Zs}+$", "")), lambda a: a != "")
 
 
 def runnable(names: Column, known: list[str], with_key: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.functions import lexicon as lx
 from tessella.operators import annotations, costs, extraction, records, reports
@@ -59,6 +60,14 @@ def test_calls_remember_rejections_and_count_failed_attempts(spark):
     assert (got["ok"], got["error"], got["attempts"], got["input_tokens"]) == (False, "refusal", 1, 3)
 
 
+def test_listed_approaches(spark):
+    texts = [" rules,, nation ,vlm,hybrid ", "\u00a0vlm\u3000,r u", ",", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", records.approaches(F.col("t")).alias("a"))
+    got = rows.select("a", records.runnable(F.col("a"), ["rules", "vlm", "hybrid"], F.col("k") % 2 == 1).alias("run")).orderBy("k").collect()
+    assert [x["a"] for x in got] == [["rules", "nation", "vlm", "hybrid"], ["vlm", "r u"], [], [], None]
+    assert [x["run"] for x in got] == [["rules"], ["vlm"], [], [], None]
+
+
 def test_approaches_and_rescoring(spark):
     rows = spark.createDataFrame([("a", "vlm", 1, "k"), ("b", "vlm", 2, "k")], "plan string, approach string, labels int, note string")
     bodies = spark.createDataFrame([("a", "vlm", "xyz")], "plan string, approach string, body string")
