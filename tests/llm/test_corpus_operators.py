@@ -442,6 +442,28 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_take_few_tasks(spark, monkeypatch):
+    held = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    context = spark.sparkContext
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(900, 901), (7, 7)], "a long, b long")
+    want = {k: 0 for k in range(301)} | {900: 900, 901: 900}
+    try:
+        context.setJobGroup("components", "")
+        assert dict(map(tuple, components(edges).collect())) == want
+        status = context.statusTracker()
+        stages = {s for j in status.getJobIdsForGroup("components") for s in status.getJobInfo(j).stageIds}
+        assert sum(status.getStageInfo(s).numCompletedTasks for s in stages) < 1000
+        monkeypatch.setattr("tessella.llm.components.EDGES", 40)  # a larger table, spread over all partitions
+        assert dict(map(tuple, components(edges).collect())) == want
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # -- language -----------------------------------------------------------------------------------------------
 
 
