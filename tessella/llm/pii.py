@@ -5,21 +5,21 @@ High-recall generators propose further spans, which may overlap others: local ph
 bank accounts and access keys. Boosted trees score each proposal from its format (entropy and check sum among it) and
 its context, and a threshold per kind, calibrated on held-out labelled proposals, selects what is added.
 
-Trees are fitted on at most ``SAMPLE`` proposals of the documents for each kind and label, whose weak labels come from
-cue words, assignments, entropy and check sums, and on ``PRIOR_ROWS`` generated ones for kinds that a corpus
-lacks. Proposals of half the documents calibrate. The trees become plain column expressions, so documents never leave
+Trees are fitted on all proposals of the documents that have a weak label, from cue words, assignments, entropy and
+check sums, and on ``PRIOR_ROWS`` generated ones for kinds that a corpus lacks. Spark counts the proposals by their
+features, and weights balance kinds and labels. Half of the matches only calibrate. The trees become plain column expressions, so documents never leave
 the JVM and every text is handled inside its own row.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 import math
 import random
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import let, table
@@ -42,8 +42,8 @@ PROPOSED = {
 }
 KINDS = [*BASE, *PROPOSED]
 CONTEXT, GROUP = 32, 512
-#: Bound of the labelled sample: generated proposals, and real ones for each kind and label.
-PRIOR_ROWS, SAMPLE = 2000, 500
+#: Generated proposals, and the most of them that all real ones of a kind and label weigh as much as.
+PRIOR_ROWS, WEIGHT = 2000, 500
 TREES, RATE, PRECISION, BINS = 24, 0.4, 0.98, 12
 #: Words before a proposal that speak for it, and the signs of an assignment.
 CUES = r"(?i)(?:tel|phone|call|fax|mobile|ssn|social|identity|iban|account|konto|compte|cuenta|key|token|secret|password)\W{0,4}\w*\W{0,4}$"
@@ -189,20 +189,23 @@ def weak_label(kind: str, x: Column) -> Column:
     return F.when(cue | x["before"].rlike(DIALLED), 1)
 
 
-def sampled(docs: DataFrame) -> list[tuple]:
-    """(kind, before, match, after, label, held) of at most SAMPLE real proposals of each kind and label.
+def observed(docs: DataFrame) -> np.ndarray:
+    """A row for each combination of features, label and ``held`` among the labelled proposals of all documents, and their number.
 
-    Every document proposes; of one match one occurrence counts, and a hash of the match decides which matches are
-    taken. ``held`` tells the half of the documents that only calibrates.
+    Proposals of the same match in the same surroundings count once, so copies of a text add nothing. ``held`` tells the
+    half of the matches that only calibrate. Rows are as many as there are different combinations, and sorted.
     """
     text = F.col("text")
     each = lambda k: F.transform(located(text, PROPOSED[k]), lambda x: F.struct(F.lit(k).alias("kind"), x["before"], x["match"], x["after"], weak_label(k, x).alias("label")))
-    rows = docs.select("text").filter(text.rlike("[0-9]")).select((F.xxhash64("text") % 2 == 0).alias("held"), F.explode(F.concat(*[each(k) for k in PROPOSED])).alias("p"))
-    rows = rows.select("held", "p.*").filter("label is not null")
-    rows = rows.groupBy("kind", "match").agg(F.min(F.struct("label", "before", "after", "held")).alias("p")).select("kind", "match", "p.*")
-    order = Window.partitionBy("kind", "label").orderBy(F.xxhash64("match"), "match")
-    rows = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE)
-    return [(r["kind"], r["before"], r["match"], r["after"], r["label"], r["held"]) for r in rows.orderBy("kind", "label", "place").collect()]
+    rows = docs.select("text").filter(text.rlike("[0-9]")).select(F.explode(F.concat(*[each(k) for k in PROPOSED])).alias("p"))
+    rows = rows.select("p.*").filter("label is not null").distinct()
+    x = {c: F.col(c) for c in ("before", "match", "after")}
+    of = F.coalesce(*[F.when(F.col("kind") == k, features(k, x)) for k in PROPOSED])
+    rows = rows.select(of.alias("f"), "label", (F.xxhash64("match") % 2 == 0).cast("int").alias("held")).groupBy("f", "label", "held").agg(F.count("*").alias("n"))
+    names = [*FEATURES, "label", "held", "n"]
+    got = rows.select("f.*", "label", "held", "n").toArrow()
+    cells = np.stack([got[c].to_numpy().astype(np.int64) for c in names], axis=1)
+    return cells[np.lexsort(cells.T[::-1])]
 
 
 def generated(rows: int = PRIOR_ROWS) -> list[tuple]:
@@ -247,53 +250,52 @@ class Model:
     PRECISION of them are personal data, at even odds or better (infinite if there is none).
     """
 
-    def __init__(self, rows: list[tuple]):
-        x, y = [_features(*r[:4]) for r in rows], [r[4] for r in rows]
-        fitted = [i for i, r in enumerate(rows) if not r[5]]
+    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, weight: np.ndarray):
+        fitted = np.flatnonzero(~held)
         self.cuts = []
         for f in range(len(FEATURES)):
-            values = sorted(x[i][f] for i in fitted)
-            self.cuts.append(sorted({values[len(values) * k // BINS] for k in range(BINS)} - {values[-1]}) if values else [])
+            order = fitted[np.argsort(x[fitted, f], kind="stable")]
+            values, reached = x[order, f], np.cumsum(weight[order])
+            at = [min(int(np.searchsorted(reached, reached[-1] * k / BINS, "right")), len(order) - 1) for k in range(BINS)] if len(order) else []
+            self.cuts.append(sorted({int(values[k]) for k in at} - {int(values[-1])}) if len(order) else [])
         #: How many cuts of each feature a row lies beyond.
-        bins = [[bisect.bisect_left(self.cuts[f], v) for f, v in enumerate(row)] for row in x]
-        score = [0.0] * len(rows)
+        bins = np.stack([np.searchsorted(self.cuts[f], x[:, f]) for f in range(len(FEATURES))], axis=1)
+        score = np.zeros(len(x))
         self.trees = []
         for _ in range(TREES):
-            p = [1 / (1 + math.exp(-s)) for s in score]
-            g, h = [y[i] - p[i] for i in range(len(rows))], [q * (1 - q) for q in p]
+            p = 1 / (1 + np.exp(-score))
+            g, h = weight * (y - p), weight * p * (1 - p)
             f, k = self._best(fitted, bins, g, h)
             sides = []
             for low in (True, False):
-                own = [i for i in fitted if (bins[i][f] <= k) == low]
+                own = fitted[(bins[fitted, f] <= k) == low]
                 f2, k2 = self._best(own, bins, g, h)
-                parts = [[i for i in own if (bins[i][f2] <= k2) == below] for below in (True, False)]
-                values = [round(RATE * sum(g[i] for i in of) / (sum(h[i] for i in of) + 1.0), 6) for of in parts]
+                parts = [own[(bins[own, f2] <= k2) == below] for below in (True, False)]
+                values = [round(RATE * float(g[of].sum()) / (float(h[of].sum()) + 1.0), 6) for of in parts]
                 for of, v in zip(parts, values, strict=True):
-                    for i in of:
-                        score[i] += v
+                    score[of] += v
                 sides.append((f2, self._cut(f2, k2), *values))
             self.trees.append((f, self._cut(f, k), *sides))
         self.thresholds, self.recall = {}, {}
         for kind in PROPOSED:
-            held = sorted(((self.total(x[i]), y[i]) for i, r in enumerate(rows) if r[5] and r[0] == kind), reverse=True)
-            good, least, caught = 0, math.inf, 0
-            for k, (s, label) in enumerate(held, 1):
-                good += label
-                if good >= PRECISION * k and (k == len(held) or held[k][0] < s):
-                    least, caught = max(0.0, s - 1e-6), good if s >= 0 else caught
-            self.thresholds[kind], self.recall[kind] = least, caught / max(good, 1)
+            own = np.flatnonzero(held & (x[:, 0] == KINDS.index(kind)))
+            total = np.round(self.totals(x[own]), 9)
+            own, total = own[np.argsort(-total, kind="stable")], np.sort(total)[::-1]
+            good, every = np.cumsum(weight[own] * y[own]), np.cumsum(weight[own])
+            least, caught = math.inf, 0.0
+            for k, s in enumerate(total.tolist()):
+                if good[k] >= PRECISION * every[k] - 1e-9 and (k + 1 == len(own) or total[k + 1] < s):
+                    least, caught = max(0.0, s - 1e-6), float(good[k]) if s >= 0 else caught
+            self.thresholds[kind], self.recall[kind] = least, caught / max(float(good[-1]) if len(own) else 0.0, 1.0)
 
     def _cut(self, f: int, k: int) -> int:
         return self.cuts[f][k] if k < len(self.cuts[f]) else 1 << 30
 
-    def _best(self, of: list[int], bins: list[list[int]], g: list[float], h: list[float]) -> tuple[int, int]:
+    def _best(self, of: np.ndarray, bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, int]:
         """The feature and the number of its cut that part the rows best, from sums of each bin."""
         top = (-1.0, 0, 0)
         for f, cuts in enumerate(self.cuts):
-            gs, hs = [0.0] * (len(cuts) + 1), [0.0] * (len(cuts) + 1)
-            for i in of:
-                gs[bins[i][f]] += g[i]
-                hs[bins[i][f]] += h[i]
+            gs, hs = (np.bincount(bins[of, f], v[of], len(cuts) + 1).tolist() for v in (g, h))
             a = b = 0.0
             for k in range(len(cuts)):
                 a, b = a + gs[k], b + hs[k]
@@ -301,13 +303,17 @@ class Model:
                 top = max(top, (a * a / (b + 1) + c * c / (d + 1), -f, -k))
         return -top[1], -top[2]
 
-    def total(self, v: list[int]) -> float:
-        out = 0.0
-        for f, cut, low, high in self.trees:
-            f2, cut2, a, b = low if v[f] <= cut else high
-            out += a if v[f2] <= cut2 else b
+    def totals(self, x: np.ndarray) -> np.ndarray:
+        """The scores of rows of features."""
+        out = np.zeros(len(x))
+        for f, cut, *sides in self.trees:
+            low, high = (np.where(x[:, f2] <= cut2, a, b) for f2, cut2, a, b in sides)
+            out += np.where(x[:, f] <= cut, low, high)
         return out
 
+    def total(self, v: list[int]) -> float:
+        return float(self.totals(np.array([v]))[0])
+
     def score(self, v: Column) -> Column:
         """The trees as one expression over a struct of features."""
         value = lambda f2, cut2, a, b: F.when(v[FEATURES[f2]] <= cut2, a).otherwise(b)
@@ -316,8 +322,20 @@ class Model:
 
 
 def fit(docs: DataFrame | None = None) -> Model:
-    """A model from the generated proposals and, if there are documents, a bounded sample of theirs."""
-    return Model([*generated(), *(sampled(docs) if docs is not None else [])])
+    """A model from the generated proposals and, if there are documents, all labelled ones of theirs.
+
+    A real proposal weighs as much as a generated one, or less where all of its kind and label would exceed WEIGHT.
+    """
+    prior = generated()
+    cells = np.array([[*_features(*r[:4]), r[4], r[5], 1] for r in prior], np.int64)
+    weight = np.ones(len(cells))
+    if docs is not None:
+        real = observed(docs)
+        groups, of = np.unique(real[:, [0, len(FEATURES)]], axis=0, return_inverse=True)
+        share = np.minimum(1.0, WEIGHT / np.maximum(np.bincount(of.ravel(), real[:, -1], len(groups)), 1))
+        cells, weight = np.concatenate([cells, real]), np.concatenate([weight, real[:, -1] * share[of.ravel()]])
+    n = len(FEATURES)
+    return Model(cells[:, :n], cells[:, n], cells[:, n + 1] == 1, weight)
 
 
 # -- operator -----------------------------------------------------------------------------------------------
@@ -326,7 +344,7 @@ def fit(docs: DataFrame | None = None) -> Model:
 def detected(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """All columns of ``docs`` with ``pii``: an array of (start, rank, end, kind, match, score), by start and rank.
 
-    Without a ``model`` one is fitted on a sample of ``docs``; without proposals there, on generated ones alone. Base spans have score null. A proposal that lies inside a base span is left out; other overlaps stay. A null or
+    Without a ``model`` one is fitted on all of ``docs``; without proposals there, on generated ones alone. Base spans have score null. A proposal that lies inside a base span is left out; other overlaps stay. A null or
     empty text has no spans. Texts without digits and without "@" cannot match and are not searched. Rows are handled
     one by one, so repeats and ties need no rule; a column named ``pii`` is replaced.
     """

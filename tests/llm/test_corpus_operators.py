@@ -96,6 +96,14 @@ def test_pii_finds_assigned_secrets_and_leaves_plain_hashes(spark):
     assert all(model.recall[k] > 0.45 for k in pii.PROPOSED), model.recall
 
 
+def test_pii_counts_every_labelled_proposal(spark):
+    texts = [f"call {200 + k // 100}-{k:03}-{4000 + k} now" for k in range(900)] + ["see also abcdefgh-abcdefgh-12"] * 3
+    seen = pii.observed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    n = {(pii.KINDS[kind], label): int(seen[(seen[:, 0] == kind) & (seen[:, -3] == label), -1].sum()) for kind, label in {(x[0], x[-3]) for x in seen.tolist()}}
+    assert n == {("local_phone", 1): 900, ("key", 0): 1}
+    assert 300 < seen[seen[:, -2] == 1, -1].sum() < 600
+
+
 def test_pii_of_awkward_rows(spark, clashing, empty):
     got = pii.detected(clashing)
     assert sorted(got.columns) == sorted(clashing.columns)
